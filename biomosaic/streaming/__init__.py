@@ -1,0 +1 @@
+"""Intentionally empty: all inputs are batch tables, there is nothing to stream."""
