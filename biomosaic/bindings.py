@@ -18,6 +18,24 @@ from .sources.tables import conform
 # Wide enough for the keys of any scale.
 KEY_WIDTH = 12
 
+# The columns in use, declared so that opening a table needs no job.
+TABLES = {
+    "nation": "n_nationkey int, n_regionkey int",
+    "customer": (
+        "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+    ),
+    "supplier": "s_suppkey long, s_name string, s_acctbal double",
+    "part": "p_partkey long, p_name string, p_brand string, p_size int",
+    "orders": (
+        "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+        "o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+        "l_returnflag string, l_linestatus string"
+    ),
+}
+
 # Retired and replacing part size, many to one.
 SIZE_PAIRS = (
     (1, 26), (2, 26), (3, 27), (5, 28), (6, 28), (8, 30), (9, 30), (11, 31), (12, 33), (13, 33),
@@ -45,9 +63,13 @@ class StarSchema:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.dir = str(sf_dir).rstrip("/")
+        self._opened: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        if name not in self._opened:
+            path = f"{self.dir}/{name}.parquet"
+            self._opened[name] = self.spark.read.schema(TABLES[name]).parquet(path)
+        return self._opened[name]
 
     # Watershed units and boundaries
 

@@ -162,6 +162,7 @@ def region_habitat(habitat: DataFrame, submodels: DataFrame) -> DataFrame:
     """Per species, region and map unit: the submodel seasons that select it."""
     return (
         _in_submodels(habitat, submodels)
+        .dropna(subset=["spp_code", "region_code", "mu_code"])
         .groupBy("spp_code", "region_code", "mu_code", "mg_code")
         .agg(F.bit_or(submodel_season_bit(F.col("season"))).alias("habitat_bits"))
     )
@@ -171,9 +172,15 @@ _SHARED_SEASON = "(habitat_bits & range_bits) != 0"
 
 
 def _known_classes(counts: DataFrame, cover_legend: DataFrame | None) -> DataFrame:
+    """Counts of classes in the legend.
+
+    Not a semi-join: the optimizer would move that below the aggregation of the
+    counts, and the expanded side could no longer share their shuffle.
+    """
     if cover_legend is None:
         return counts
-    return counts.join(cover_legend.select(F.col("value").alias("mu_code")), "mu_code", "left_semi")
+    classes = cover_legend.select(F.col("value").alias("mu_code")).distinct()
+    return counts.join(classes, "mu_code")
 
 
 def tight_counts(
@@ -315,10 +322,16 @@ def expanded_counts(
         units = macrogroup_units(legend)
     # Both groups of a key are bounded by dimensions here: the macrogroups of
     # the legend and the HUCs of one region.
-    return (
+    placed = (
         chosen.withColumn("uc_key", fold("spp_code"))
         .join(region_range_bits(season_hucs, huc_region), ["uc_key", "region_code"])
         .filter(_SHARED_SEASON)
-        .join(macrogroup_huc_counts(counts, units), ["huc12rng", "mg_code"])
-        .select(*keys, "huc12rng", "hab_mg_cnt")
     )
+    # No macrogroup in the counts is null, so null-safe equality finds the same
+    # rows. Unlike plain equality it puts no filter below region_habitat, whose
+    # shuffle the tight counts can then share.
+    cells = macrogroup_huc_counts(counts, units).withColumnsRenamed(
+        {"huc12rng": "_huc", "mg_code": "_mg"}
+    )
+    same_place = (F.col("huc12rng") == F.col("_huc")) & F.col("mg_code").eqNullSafe(F.col("_mg"))
+    return placed.join(cells, same_place).select(*keys, "huc12rng", "hab_mg_cnt")

@@ -75,15 +75,34 @@ class MacrogroupStudy:
         """What the counts need of the habitat table."""
         return self.habitat if self.compat else self._habitat(hab.habitat_keys)
 
-    @cached_property
-    def season_hucs(self) -> DataFrame:
+    def _season_hucs(self, species: DataFrame | None) -> DataFrame:
         t = self.tables
         if t.season_ranges is not None:
             return t.season_ranges
         return rng.species_season_huc(
-            t.ranges, t.hucs, t.boundaries, t.boundary_species, self.species
+            t.ranges, t.hucs, t.boundaries, t.boundary_species, species
         )
 
+    @cached_property
+    def season_hucs(self) -> DataFrame:
+        return self._season_hucs(self.species)
+
+    @cached_property
+    def _cells(self) -> DataFrame:
+        """Counts that can match anything: one shape, one shuffle for all uses."""
+        return self.counts.dropna(subset=["huc12rng", "mu_code"])
+
+    @cached_property
+    def _counted(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Habitat, submodels and ranges as the counts take them.
+
+        The habitat is limited to the screened species already, so the two
+        others need no filter of their own: that would only repeat the
+        screening inside the plan.
+        """
+        submodels = hab.submodel_list(self.tables.submodels)
+        return self.habitat_keys, submodels, self._season_hucs(None)
+
     @cached_property
     def counts(self) -> DataFrame:
         t = self.tables
@@ -103,11 +122,9 @@ class MacrogroupStudy:
     def tight(self) -> DataFrame:
         t = self.tables
         return hab.tight_counts(
-            self.habitat_keys,
-            self.submodels,
-            self.season_hucs,
+            *self._counted,
             t.huc_region,
-            self.counts,
+            self._cells,
             t.cover_legend,
             compat=self.compat,
         )
@@ -116,11 +133,9 @@ class MacrogroupStudy:
     def expanded(self) -> DataFrame:
         t = self.tables
         return hab.expanded_counts(
-            self.habitat_keys,
-            self.submodels,
-            self.season_hucs,
+            *self._counted,
             t.huc_region,
-            self.counts,
+            self._cells,
             t.vegetation_legend,
             compat=self.compat,
         )
@@ -162,7 +177,7 @@ class MacrogroupStudy:
         return smy.species_macrogroup_ratio(
             species_units,
             self.huc_habitat,
-            self.counts,
+            self._cells,
             t.vegetation_legend,
             t.cover_legend,
             self.compat,

@@ -51,10 +51,12 @@ def conform(table: str, frame: DataFrame) -> DataFrame:
     presence labels are made of digits.
     """
     wanted = schema(table)
-    absent = [f.name for f in wanted if f.name not in frame.columns]
+    have = {f.name: f.dataType for f in frame.schema}
+    absent = [f.name for f in wanted if f.name not in have]
     if absent:
         raise ValueError(f"table {table} lacks columns: {', '.join(absent)}")
-    have = {f.name: f.dataType for f in frame.schema}
+    if list(have.items()) == [(f.name, f.dataType) for f in wanted]:
+        return frame
 
     def typed(field):
         col = F.col(field.name)
