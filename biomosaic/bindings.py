@@ -296,12 +296,9 @@ class StarSchema:
         return crosswalk_pairs(self.spark, SIZE_PAIRS)
 
     def size_units(self) -> DataFrame:
-        size = F.col("p_size").cast("string")
-        return (
-            self.table("part")
-            .groupBy(F.col("p_size").cast("long").alias("mu_code"))
-            .agg(F.concat(F.lit(" size "), F.first(size), F.lit("  ")).alias("mu_name"))
-        )
+        sizes = self.table("part").select(F.col("p_size").cast("long").alias("mu_code")).distinct()
+        name = F.concat(F.lit(" size "), F.col("mu_code").cast("string"), F.lit("  "))
+        return sizes.withColumn("mu_name", name)
 
     def size_submodels(self) -> DataFrame:
         return self.table("supplier").select(

@@ -34,9 +34,10 @@ def macrogroup_units(legend: DataFrame) -> DataFrame:
 
 def macrogroup_names(legend: DataFrame) -> DataFrame:
     """One name per macrogroup, also where the legend has several."""
-    return legend.groupBy(F.col("macro_cd").alias("mg_code")).agg(
-        F.min("nvc_macro").alias("mg_name")
-    )
+    names = legend.select(
+        F.col("macro_cd").alias("mg_code"), F.col("nvc_macro").alias("mg_name")
+    ).distinct()
+    return names.groupBy("mg_code").agg(F.min("mg_name").alias("mg_name"))
 
 
 def _selected_units(

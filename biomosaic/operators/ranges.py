@@ -25,12 +25,23 @@ def boundary_hucs(hucs: DataFrame, boundaries: DataFrame) -> DataFrame:
 
 
 def _occupied(ranges: DataFrame, species: DataFrame | None) -> DataFrame:
-    rows = ranges.filter(
-        (F.col("range_pres") < PRESENCE_LIMIT) & F.col("range_seas").isin(*RANGE_SEASONS)
-    ).withColumn("uc_key", fold("uc"))
+    """Occupied range records, counted per spelling of the code, season and HUC.
+
+    Counting by the code as written leaves few rows for the later steps, which
+    compare folded codes and pick one spelling; picking a string while grouping
+    needs sorted input, which the full table should not be put through.
+    """
+    records = (
+        ranges.filter(
+            (F.col("range_pres") < PRESENCE_LIMIT) & F.col("range_seas").isin(*RANGE_SEASONS)
+        )
+        .groupBy("uc", "range_seas", "huc12rng")
+        .agg(F.count(F.lit(1)).alias("records"))
+        .withColumn("uc_key", fold("uc"))
+    )
     if species is None:
-        return rows
-    return rows.join(species.select(fold("uc").alias("uc_key")), "uc_key", "left_semi")
+        return records
+    return records.join(species.select(fold("uc").alias("uc_key")), "uc_key", "left_semi")
 
 
 def species_season_huc(
@@ -81,7 +92,7 @@ def species_huc_habitat(
     range_hucs = (
         _occupied(ranges, species)
         .groupBy("uc_key", "huc12rng")
-        .agg(F.min("uc").alias("uc"), F.count(F.lit(1)).alias("records"))
+        .agg(F.min("uc").alias("uc"), F.sum("records").alias("records"))
     )
     hab_cnt = F.col("cells") * F.col("records") if compat else F.col("cells")
     return range_hucs.join(cells, ["uc_key", "huc12rng"]).select(

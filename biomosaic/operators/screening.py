@@ -139,8 +139,10 @@ def ancillary_score(flags: DataFrame) -> DataFrame:
     submodels gets a null score.
     """
     return (
-        flags.groupBy(fold("uc").alias("uc_key"))
-        .agg(F.min("uc").alias("uc"), F.sum(reduce(add, [F.col(c) for c in SCORED])).alias("any_anc"))
+        flags.groupBy("uc")
+        .agg(F.sum(reduce(add, [F.col(c) for c in SCORED])).alias("any_anc"))
+        .groupBy(fold("uc").alias("uc_key"))
+        .agg(F.min("uc").alias("uc"), F.sum("any_anc").alias("any_anc"))
         .select("uc", "any_anc")
     )
 

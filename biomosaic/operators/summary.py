@@ -200,18 +200,23 @@ def mapunits_in_selected_macrogroups(habitat_species: DataFrame, legend: DataFra
     )
 
 
+def _cells_per_species(frame: DataFrame, code: str, cells: str) -> DataFrame:
+    return (
+        frame.groupBy("spp_code")
+        .agg(F.sum("cells").alias(cells))
+        .groupBy(fold("spp_code").alias("spp_key"))
+        .agg(F.min("spp_code").alias(code), F.sum(cells).alias(cells))
+    )
+
+
 def reconcile(expected: DataFrame, actual: DataFrame, tolerance_pct: float = 2.0) -> DataFrame:
     """Expected and actual cells per species and how far they are apart.
 
     Both inputs have ``spp_code`` and ``cells``. A species on one side only has
     a null difference and is marked as missing there.
     """
-    e = expected.groupBy(fold("spp_code").alias("spp_key")).agg(
-        F.min("spp_code").alias("e_code"), F.sum("cells").alias("expected_cnt")
-    )
-    a = actual.groupBy(fold("spp_code").alias("spp_key")).agg(
-        F.min("spp_code").alias("a_code"), F.sum("cells").alias("actual_cnt")
-    )
+    e = _cells_per_species(expected, "e_code", "expected_cnt")
+    a = _cells_per_species(actual, "a_code", "actual_cnt")
     diff = ratio_pct(F.col("actual_cnt") - F.col("expected_cnt"), F.col("expected_cnt"))
     return (
         e.join(a, "spp_key", "full")
@@ -232,8 +237,9 @@ def missing_species(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """Expected species without any actual record."""
     seen = actual.select(fold("spp_code").alias("spp_key"))
     return (
-        expected.withColumn("spp_key", fold("spp_code"))
+        expected.select("spp_code")
+        .distinct()
+        .withColumn("spp_key", fold("spp_code"))
         .join(seen, "spp_key", "left_anti")
         .select("spp_code")
-        .distinct()
     )

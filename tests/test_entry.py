@@ -81,3 +81,35 @@ def test_skewed_tables_with_crowded_boundaries(spark, skewed, monkeypatch):
     build = entry.bnd.species_boundary_counts
     monkeypatch.setattr(entry.bnd, "species_boundary_counts", lambda *a, **k: build(*a, **k, pair_limit=100))
     _agree(spark, skewed, "species_boundary_counts")
+
+
+def test_hot_partitions_are_split(spark, skewed):
+    """With thresholds scaled down to the fixture, the hot order's join is cut."""
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    try:
+        for name, value in small.items():
+            spark.conf.set(name, value)
+        frame = entry.queries()["mapunit_huc_counts"](spark, str(skewed))
+        frame.collect()
+        assert "skew=true" in frame._jdf.queryExecution().executedPlan().toString()
+        _agree(spark, skewed, "mapunit_huc_counts")
+        _agree(spark, skewed, "species_boundary_counts")
+    finally:
+        for name in small:
+            spark.conf.unset(name)
+
+
+def test_large_inputs_are_hash_aggregated(spark, skewed):
+    """No grouping over line items needs sorted input."""
+    for name in (
+        "mapunit_huc_counts", "xwalk_transitions", "mapunits_per_species",
+        "species_macrogroup_boundary", "filter_funnel",
+    ):
+        frame = entry.queries()[name](spark, str(skewed))
+        assert "SortAggregate" not in frame._jdf.queryExecution().executedPlan().toString(), name
