@@ -219,12 +219,7 @@ class StarSchema:
 
     def study(self) -> StudyTables:
         frames = {
-            name: conform(name, getattr(self, name)())
-            for name in (
-                "taxa", "submodels", "ancillary", "presence", "map_units", "vegetation_legend",
-                "cover_legend", "ranges", "hucs", "huc_region", "boundaries", "boundary_species",
-                "boundary_cover",
-            )
+            name: conform(name, getattr(self, name)()) for name in StudyTables.table_names()
         }
         return StudyTables(**frames, uc_width=KEY_WIDTH)
 

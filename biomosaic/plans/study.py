@@ -7,7 +7,7 @@ per query (reused exchanges); nothing is cached or collected here.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import MISSING, dataclass, fields, replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -38,6 +38,11 @@ class StudyTables:
     # Ranges kept from an earlier run; derived from the other tables if absent.
     season_ranges: DataFrame | None = None
 
+    @classmethod
+    def table_names(cls) -> list[str]:
+        """The base tables, by the names under which their schemas are declared."""
+        return [f.name for f in fields(cls) if f.default is MISSING]
+
 
 class MacrogroupStudy:
     def __init__(self, tables: StudyTables, compat: bool = False):

@@ -72,6 +72,11 @@ def read_table(spark: SparkSession, table: str, path: str) -> DataFrame:
     return conform(table, spark.read.parquet(path))
 
 
+def read_tables(spark: SparkSession, root: str, *names: str) -> dict[str, DataFrame]:
+    """Tables kept as ``<root>/<name>``: all of them unless named."""
+    return {name: read_table(spark, name, f"{root}/{name}") for name in names or SCHEMAS}
+
+
 def read_csv_table(spark: SparkSession, table: str, path: str) -> DataFrame:
     """CSV export with a header line, such as the land-cover class list."""
     return spark.read.schema(schema(table)).csv(

