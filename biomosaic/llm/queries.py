@@ -9,6 +9,7 @@ from .exact_dedup import exact_dedup
 from .language_id import language_id
 from .packing import pack
 from .runtime import read
+from .toxicity import toxicity
 
 #: Vocabulary of the packing query; pack() takes any file's path.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -22,6 +23,10 @@ def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -29,6 +34,7 @@ def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": _op1,
     "op2_exact_dedup": _op2,
+    "op5_toxicity": _op5,
     "op7_packing": _op7,
 }
 
