@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
 from .language_id import language_id
+from .near_vectors import near_vectors
 from .packing import pack
 from .runtime import read
+from .shingle_join import shingle_join
 from .toxicity import toxicity
 
 #: Vocabulary of the packing query; pack() takes any file's path.
@@ -31,11 +33,21 @@ def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join(read(spark, sf_dir, "documents"))
+
+
+def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_language_id": _op1,
     "op2_exact_dedup": _op2,
     "op5_toxicity": _op5,
     "op7_packing": _op7,
+    "op8_shingle_join": _op8,
+    "op10_near_vectors": _op10,
 }
 
 ORACLES = {
