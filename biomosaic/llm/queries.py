@@ -11,6 +11,8 @@ from .near_vectors import near_vectors
 from .packing import pack
 from .runtime import read
 from .shingle_join import shingle_join
+from .substring_dedup import substring_dedup
+from .suffix_tree_lm import suffix_tree_lm
 from .toxicity import toxicity
 
 #: Vocabulary of the packing query; pack() takes any file's path.
@@ -25,6 +27,10 @@ def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(read(spark, sf_dir, "documents"))
+
+
 def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -37,6 +43,10 @@ def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join(read(spark, sf_dir, "documents"))
 
 
+def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree_lm(read(spark, sf_dir, "documents"))
+
+
 def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(read(spark, sf_dir, "embeddings"))
 
@@ -44,9 +54,11 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": _op1,
     "op2_exact_dedup": _op2,
+    "op3_substring_dedup": _op3,
     "op5_toxicity": _op5,
     "op7_packing": _op7,
     "op8_shingle_join": _op8,
+    "op9_suffix_tree_lm": _op9,
     "op10_near_vectors": _op10,
 }
 

@@ -33,6 +33,8 @@ GROUPS = 256
 SMALL = 48
 #: Growth of the size bands of the parts.
 BAND = 1.5
+#: Rounds of pairs with a leader before the search.
+STARS = 4
 #: Members of a tree node; members of a cell that one task compares with as many.
 LEAF, BLOCK_ROWS = 32, 1024
 
@@ -216,25 +218,30 @@ class Tree:
 
 
 def _meet(percent: int):
-    """Pairs of different components of one cell whose points allow a link."""
+    """Pairs of different components of one cell whose points allow a link.
+
+    Members of the commonest component are connected already, so that only the others
+    are looked up, in the tree of the other block.
+    """
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         i, j = part["i"].iloc[0], part["j"].iloc[0]
         points = np.stack([np.frombuffer(x, np.uint8) for x in part["point"]])
-        node, n, comp, lead, where = (part[c].to_numpy() for c in ("node", "n", "comp", "leader", "block"))
-        left, right = np.flatnonzero(where == i), np.flatnonzero(where == j)
-        a, b = [], []
-        if len(left) and len(right):
-            tree = Tree(n[right], points[right])
-            for x in left:
-                hits = right[tree.search(int(n[x]), points[x], percent)]
-                hits = hits[(comp[hits] != comp[x]) & (node[hits] != lead[x]) & (node[x] != lead[x])]
-                if i == j:
-                    hits = hits[node[hits] > node[x]]
+        node, n, comp, where = (part[c].to_numpy() for c in ("node", "n", "comp", "block"))
+        values, counts = np.unique(comp, return_counts=True)
+        common = comp == values[counts.argmax()]
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for mine, other in [(i, j)] if i == j else [(i, j), (j, i)]:
+            asked, told = np.flatnonzero((where == mine) & ~common), np.flatnonzero(where == other)
+            if not len(asked) or not len(told):
+                continue
+            tree = Tree(n[told], points[told])
+            for x in asked:
+                hits = told[tree.search(int(n[x]), points[x], percent)]
+                hits = hits[comp[hits] != comp[x]]
                 a.append(np.minimum(node[x], node[hits]))
                 b.append(np.maximum(node[x], node[hits]))
-        empty = [np.empty(0, np.int64)]
-        return pd.DataFrame({"a": np.concatenate(a + empty), "b": np.concatenate(b + empty)})
+        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
 
     return run
 
@@ -273,10 +280,10 @@ def shingle_join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Dat
     doc_id reachable; rows with a null doc_id link with nothing and have none. An empty
     table gives no rows; further columns are not read.
 
-    Equal sets are one node. In each cell all nodes are first paired with its smallest
-    one; what that leaves unconnected in a cell is searched with the tree, in blocks.
-    So every pair that could join two components is looked at, and copies of one text
-    never meet all pairs.
+    Equal sets are one node. In a few rounds the nodes of each cell are paired with one
+    leader of the cell, the same for most cells of a family of copies; what that leaves
+    unconnected in a cell is searched with the tree, in blocks. So every pair that could
+    join two components is looked at, and copies never meet all pairs.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -287,24 +294,20 @@ def shingle_join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Dat
     total = light.count()
     crowds = {r["node"]: r["rep"] for r in filled.filter(F.col("copies") * 1000 >= total).filter("copies > 1").collect()}
     cells = read.mapInArrow(_emit_cells(k, percent, crowds), "cell long, node long")
-    whole = Window.partitionBy("cell")
-    multi = settle(
-        cells.withColumn("leader", F.min("node").over(whole))
-        .withColumn("last", F.max("node").over(whole))
-        .filter("leader < last")
-        .select("cell", "node", "leader")
-    )
-    pairs = settle(multi.filter("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
-    named = multi.select("node").distinct().join(filled, "node").select(F.col("rep").alias("doc_id"))
+    cells = settle(_mixed(cells.withColumn("comp", F.col("node")), 0))
+    named = cells.select("node").distinct().join(filled, "node").select(F.col("rep").alias("doc_id"))
     candidates = read.join(named.distinct(), "doc_id", "left_semi")
     sets = settle(
         candidates.mapInArrow(_emit_sets(k), "node long, n long, point binary, own binary").dropDuplicates(["node"])
     )
-    links = settle(_links(pairs, sets, percent))
-    joined = settle(components(links, "a", "b"))
-    more = _rest(multi, joined, sets, pairs, percent)
-    links = settle(links.unionAll(_links(more, sets, percent)))
-    joined = components(links, "a", "b")
+    joined = None
+    for round_ in range(1, STARS + 1):
+        pairs = cells.filter("comp != lead.comp").select(
+            F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")
+        )
+        joined = _grown(joined, _links(pairs.distinct(), sets, percent))
+        cells = settle(_mixed(_placed(cells.select("cell", "node"), joined), round_))
+    joined = _grown(joined, _links(_rest(cells, sets, percent), sets, percent))
     roots = filled.join(joined.withColumnRenamed("id", "node"), "node", "left").select(
         "node", "rep", F.coalesce("component_id", "node").alias("root")
     )
@@ -317,26 +320,48 @@ def shingle_join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Dat
     )
 
 
-def _rest(multi: DataFrame, joined: DataFrame, sets: DataFrame, done: DataFrame, percent: int) -> DataFrame:
-    """Pairs still to verify: of one cell, of different components, allowed by the tree."""
-    placed = multi.join(joined.withColumnRenamed("id", "node"), "node", "left").select(
-        "cell", "node", "leader", F.coalesce("component_id", "node").alias("comp")
+def _mixed(placed: DataFrame, seed: int) -> DataFrame:
+    """Members of cells with several components, each beside the cell's current leader."""
+    whole = Window.partitionBy("cell")
+    lead = F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("order"), "node", "comp")).over(whole)
+    return (
+        placed.withColumn("lo", F.min("comp").over(whole))
+        .withColumn("hi", F.max("comp").over(whole))
+        .withColumn("lead", lead)
+        .filter("lo < hi")
+        .select("cell", "node", "comp", "lead")
+    )
+
+
+def _placed(members: DataFrame, joined: DataFrame) -> DataFrame:
+    return members.join(joined.withColumnRenamed("id", "node"), "node", "left").select(
+        "cell", "node", F.coalesce("component_id", "node").alias("comp")
     )
-    placed = settle(placed)
-    mixed = (
-        placed.groupBy("cell")
-        .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count_distinct("node").alias("members"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sign"))
-        .filter("lo < hi AND members > 2")
+
+
+def _grown(joined: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components after more links."""
+    if joined is not None:
+        links = links.unionAll(joined.filter("id != component_id").select("id", "component_id"))
+    return settle(components(links, "a", "b"))
+
+
+def _rest(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs still to verify: of one cell, of different components, allowed by the tree."""
+    groups = cells.groupBy("cell").agg(
+        F.count_distinct("node").alias("members"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sign")
     )
     # Cells with the same members are searched once.
-    once = mixed.groupBy("members", "sign").agg(F.min("cell").alias("cell"))
-    rows = placed.distinct().join(once.select("cell", "members"), "cell").join(sets.select("node", "n", "point"), "node")
-    rows = rows.withColumn("blocks", F.ceil(F.col("members") / BLOCK_ROWS).cast("int")).withColumn(
-        "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    once = groups.groupBy("members", "sign").agg(F.min("cell").alias("cell"))
+    rows = (
+        cells.select("cell", "node", "comp").distinct()
+        .join(once.select("cell", "members"), "cell")
+        .join(sets.select("node", "n", "point"), "node")
+        .withColumn("blocks", F.ceil(F.col("members") / BLOCK_ROWS).cast("int"))
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     )
     dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        "block", "node", "leader", "comp", "n", "point",
+        "block", "node", "comp", "n", "point",
     )
-    found = dealt.groupBy("cell", "i", "j").applyInPandas(_meet(percent), "a long, b long")
-    return found.distinct().join(done, ["a", "b"], "left_anti")
+    return dealt.groupBy("cell", "i", "j").applyInPandas(_meet(percent), "a long, b long").distinct()

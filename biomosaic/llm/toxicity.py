@@ -110,7 +110,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     chosen = bounded_sample(known, "toxic", sample, "doc_id")
     texts = docs.select("doc_id", "text").join(chosen, "doc_id").select("toxic", "text")
     grams = texts.mapInArrow(_features, "toxic int, grams array<int>")
-    return grams.groupBy(F.lit(0)).applyInPandas(fit, "gram int, weight double")
+    return grams.groupBy().applyInPandas(fit, "gram int, weight double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
