@@ -34,7 +34,7 @@ SMALL = 48
 #: Growth of the size bands of the parts.
 BAND = 1.5
 #: Rounds of pairs with a leader before the search.
-STARS = 4
+STARS = 2
 #: Members of a tree node; members of a cell that one task compares with as many.
 LEAF, BLOCK_ROWS = 32, 1024
 
@@ -307,7 +307,10 @@ def shingle_join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Dat
         )
         joined = _grown(joined, _links(pairs.distinct(), sets, percent))
         cells = settle(_mixed(_placed(cells.select("cell", "node"), joined), round_))
-    joined = _grown(joined, _links(_rest(cells, sets, percent), sets, percent))
+        if cells.isEmpty():
+            break
+    else:
+        joined = _grown(joined, _links(_rest(cells, sets, percent), sets, percent))
     roots = filled.join(joined.withColumnRenamed("id", "node"), "node", "left").select(
         "node", "rep", F.coalesce("component_id", "node").alias("root")
     )
