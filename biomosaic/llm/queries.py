@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
 from .language_id import language_id
+from .mixing import mix
 from .near_vectors import near_vectors
 from .packing import pack
 from .runtime import read
+from .secret_scan import secret_scan
 from .shingle_join import shingle_join
 from .substring_dedup import substring_dedup
 from .suffix_tree_lm import suffix_tree_lm
@@ -31,10 +33,18 @@ def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(read(spark, sf_dir, "documents"))
 
 
+def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(read(spark, sf_dir, "documents"))
+
+
 def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(read(spark, sf_dir, "documents"))
+
+
 def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -55,7 +65,9 @@ QUERIES = {
     "op1_language_id": _op1,
     "op2_exact_dedup": _op2,
     "op3_substring_dedup": _op3,
+    "op4_secret_scan": _op4,
     "op5_toxicity": _op5,
+    "op6_mixing": _op6,
     "op7_packing": _op7,
     "op8_shingle_join": _op8,
     "op9_suffix_tree_lm": _op9,
