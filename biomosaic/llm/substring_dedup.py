@@ -11,11 +11,11 @@ occur in a document with a smaller id.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,21 +110,28 @@ def _scan(size: int, gram: int):
     return run
 
 
-def _keep_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts packed, each with a name of its sequence of words."""
+def _twin(sha: bytes) -> int:
+    """A short name of a sequence of words, which tells rows with the same id apart."""
+    return int.from_bytes(sha[:8], "big", signed=True)
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compressed words, each text with the name of its sequence of words."""
+    squeeze = zstandard.ZstdCompressor(level=3)
     for batch in blocks(batches):
-        shas, packed = [], []
+        twins, words = [], []
         for text in batch["text"].to_pylist():
-            words = (text or "").encode("utf-8", "replace").split()
-            shas.append(hashlib.sha256(b" ".join(words)).digest())
-            packed.append(zlib.compress(b" ".join(words), 1))
+            joined = b" ".join((text or "").encode("utf-8", "replace").split())
+            twins.append(_twin(hashlib.sha256(joined).digest()))
+            words.append(squeeze.compress(joined))
         yield pa.RecordBatch.from_arrays(
-            [batch["doc_id"], pa.array(shas, pa.binary()), pa.array(packed, pa.binary())], names=["doc_id", "sha", "words"]
+            [batch["doc_id"], pa.array(twins, pa.int64()), pa.array(words, pa.binary())], names=["doc_id", "twin", "words"]
         )
 
 
 def _unpacked(batch: pa.RecordBatch):
-    return split(pa.array([zlib.decompress(w).decode("utf-8", "replace") for w in batch["words"].to_pylist()], pa.string()), lower=False)
+    open_ = zstandard.ZstdDecompressor().decompress
+    return split(pa.array([open_(w).decode("utf-8", "replace") for w in batch["words"].to_pylist()], pa.string()), lower=False)
 
 
 def _passages(size: int):
@@ -136,16 +143,16 @@ def _passages(size: int):
             hashes = words.hashes()
             rows = []
             for row, asked in enumerate(batch["asked"].to_pylist()):
-                doc, sha = batch["doc_id"][row].as_py(), batch["sha"][row].as_py()
+                doc, twin = batch["doc_id"][row].as_py(), batch["twin"][row].as_py()
                 for run_ in asked:
                     a = words.ptr[row] + run_["start"]
                     own = hashes[a : a + run_["windows"] + size - 1]
-                    rows.append((run_["anchor"], doc, sha, run_["start"], run_["windows"], own.tobytes()))
+                    rows.append((run_["anchor"], doc, twin, run_["start"], run_["windows"], own.tobytes()))
             columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                names=["anchor", "doc_id", "sha", "start", "windows", "own"],
+                names=["anchor", "doc_id", "twin", "start", "windows", "own"],
             )
 
     return run
@@ -159,10 +166,10 @@ def _windows(size: int):
             for own, n in zip(batch["own"].to_pylist(), counts, strict=True):
                 found.append(_Runs(np.frombuffer(own, np.uint64)).of(np.arange(n), size))
             place = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-            rows = pa.array(np.repeat(np.arange(batch.num_rows), counts))
+            at = np.repeat(np.asarray(batch["start"]).astype(np.int64), counts) << 32 | place
+            doc = np.repeat(np.asarray(batch["doc_id"]), counts)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(np.concatenate(found))), *[batch[c].take(rows) for c in ("doc_id", "anchor", "start")], pa.array(place.astype(np.int32))],
-                names=["window", "doc_id", "anchor", "start", "place"],
+                [pa.array(signed(np.concatenate(found))), pa.array(doc), pa.array(at)], names=["window", "doc_id", "at"]
             )
 
     return run
@@ -194,8 +201,8 @@ def _stream(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         share, automaton, closed = None, Automaton(), False
         for batch in batches:
-            docs, shas, starts = [], [], []
-            for *key, doc, sha, start, own in zip(*[batch[c].to_pylist() for c in ("shard", "salt", "doc_id", "sha", "start", "own")], strict=True):
+            docs, twins, starts = [], [], []
+            for *key, doc, twin, start, own in zip(*[batch[c].to_pylist() for c in ("shard", "salt", "doc_id", "twin", "start", "own")], strict=True):
                 if key != share:
                     share, automaton, closed = key, Automaton(), False
                 symbols = np.frombuffer(own, np.int64).tolist()
@@ -208,11 +215,11 @@ def _stream(size: int):
                 for end, hit in enumerate(automaton.matches(symbols, size, doc)):
                     if hit:
                         docs.append(doc)
-                        shas.append(sha)
+                        twins.append(twin)
                         starts.append(start + end - size + 1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(docs, pa.int64()), pa.array(shas, pa.binary()), pa.array(starts, pa.int32())],
-                names=["doc_id", "sha", "start"],
+                [pa.array(docs, pa.int64()), pa.array(twins, pa.int64()), pa.array(starts, pa.int32())],
+                names=["doc_id", "twin", "start"],
             )
 
     return run
@@ -220,10 +227,11 @@ def _stream(size: int):
 
 def _remove(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = zstandard.ZstdDecompressor().decompress
         for batch in blocks(batches, "words"):
             removed, shas = [], []
             for packed, cuts in zip(batch["words"].to_pylist(), batch["cuts"].to_pylist(), strict=True):
-                words = zlib.decompress(packed).split(b" ")
+                words = open_(packed).split(b" ")
                 edge = np.zeros(len(words) + 1, np.int64)
                 for cut in cuts:
                     edge[cut["start"]] += 1
@@ -232,8 +240,8 @@ def _remove(size: int):
                 removed.append(int(gone.sum()))
                 shas.append(hashlib.sha256(b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)).digest())
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["sha"], pa.array(removed, pa.int64()), pa.array(shas, pa.binary())],
-                names=["doc_id", "sha", "n_removed", "kept"],
+                [batch["doc_id"], batch["twin"], pa.array(removed, pa.int64()), pa.array(shas, pa.binary())],
+                names=["doc_id", "twin", "n_removed", "kept"],
             )
 
     return run
@@ -254,7 +262,9 @@ def substring_dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> Data
     scanned = settle(
         read.mapInArrow(_scan(size, gram), "doc_id long, sha binary, n_words long, runs array<struct<anchor:long,digest:long,start:int,windows:int>>")
     )
-    runs = scanned.filter("doc_id IS NOT NULL").select("doc_id", "sha", F.explode("runs").alias("r")).select("doc_id", "sha", "r.*")
+    # The first 8 bytes of the digest as a long, as _twin() has it.
+    twin = F.conv(F.hex(F.substring("sha", 1, 8)), 16, -10).cast("long").alias("twin")
+    runs = scanned.filter("doc_id IS NOT NULL").select("doc_id", twin, F.explode("runs").alias("r")).select("doc_id", "twin", "r.*")
     shared = (
         runs.groupBy("anchor")
         .agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), (F.min("digest") < F.max("digest")).alias("varied"))
@@ -264,25 +274,26 @@ def substring_dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> Data
     met = settle(runs.join(shared.select("anchor", "lo", "varied"), "anchor"))
     first = met.filter("varied").groupBy("anchor", "digest").agg(F.min("doc_id").alias("first"))
     judged = met.join(first, ["anchor", "digest"], "left").withColumn("first", F.coalesce("first", "lo"))
-    judged = settle(judged.filter("varied OR doc_id > first").select("doc_id", "sha", "anchor", "start", "windows", (F.col("doc_id") > F.col("first")).alias("copy")))
-    asked = judged.filter("NOT copy").groupBy("doc_id", "sha").agg(F.collect_list(F.struct("anchor", "start", "windows")).alias("asked"))
-    near = judged.select("doc_id", "sha").distinct()
-    texts = settle(
-        read.join(near.select("doc_id").distinct(), "doc_id", "left_semi")
-        .mapInArrow(_keep_text, "doc_id long, sha binary, words binary")
-        .dropDuplicates(["doc_id", "sha"])
+    judged = settle(
+        judged.filter("varied OR doc_id > first")
+        .select("doc_id", "twin", "anchor", "start", "windows", (F.col("doc_id") > F.col("first")).alias("copy"))
     )
+    row = ["doc_id", "twin"]
+    asked = judged.filter("NOT copy").groupBy(*row).agg(F.collect_list(F.struct("anchor", "start", "windows")).alias("asked"))
+    # Compressed before they are dealt out, texts of the same row are together then.
+    packed = read.filter("doc_id IS NOT NULL").mapInArrow(_packed, "doc_id long, twin long, words binary")
+    texts = settle(packed.join(judged.select(*row).distinct(), row, "left_semi").dropDuplicates(row))
     passages = settle(
-        texts.join(asked, ["doc_id", "sha"]).mapInArrow(
-            _passages(size), "anchor long, doc_id long, sha binary, start int, windows int, own binary"
+        texts.join(asked, row).mapInArrow(
+            _passages(size), "anchor long, doc_id long, twin long, start int, windows int, own binary"
         )
     )
-    cuts = judged.filter("copy").select("doc_id", "sha", "start", "windows").unionAll(
+    cuts = judged.filter("copy").select(*row, "start", "windows").unionAll(
         _matched(passages, size).withColumn("windows", F.lit(1))
     )
-    per_doc = cuts.groupBy("doc_id", "sha").agg(F.collect_set(F.struct("start", "windows")).alias("cuts"))
-    changed = texts.join(per_doc, ["doc_id", "sha"]).mapInArrow(_remove(size), "doc_id long, sha binary, n_removed long, kept binary")
-    return scanned.select("doc_id", "sha", "n_words").join(changed, ["doc_id", "sha"], "left").select(
+    per_doc = cuts.groupBy(*row).agg(F.collect_set(F.struct("start", "windows")).alias("cuts"))
+    changed = texts.join(per_doc, row).mapInArrow(_remove(size), "doc_id long, twin long, n_removed long, kept binary")
+    return scanned.select("doc_id", "sha", twin, "n_words").join(changed, row, "left").select(
         "doc_id",
         "n_words",
         F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
@@ -291,33 +302,34 @@ def substring_dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> Data
 
 
 def _matched(passages: DataFrame, size: int) -> DataFrame:
-    """(doc_id, sha, start) of the windows found by the automata of the shards."""
-    once = passages.dropDuplicates(["anchor", "doc_id", "start", "own"])
-    windows = once.mapInArrow(_windows(size), "window long, doc_id long, anchor long, start int, place int")
+    """(doc_id, twin, start) of the windows found by the automata of the shards."""
+    once = passages.select("anchor", "doc_id", "start", "windows", "own")
+    windows = once.mapInArrow(_windows(size), "window long, doc_id long, at long")
     owners = (
         windows.groupBy("window")
-        .agg(F.min(F.struct("doc_id", "anchor", "start", "place")).alias("o"), F.max("doc_id").alias("hi"))
+        .agg(F.min(F.struct("doc_id", "at")).alias("o"), F.max("doc_id").alias("hi"))
         .filter("o.doc_id < hi")
-        .groupBy("o.doc_id", "o.anchor", "o.start")
-        .agg(F.collect_list("o.place").alias("places"))
+        .groupBy("o.doc_id", F.shiftright("o.at", 32).cast("int").alias("start"))
+        .agg(F.collect_list(F.col("o.at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).alias("places"))
     )
     references = settle(
-        once.select("doc_id", "anchor", "start", "own").join(owners, ["doc_id", "anchor", "start"])
+        once.select("doc_id", "anchor", "start", "own").join(owners, ["doc_id", "start"])
         .mapInArrow(_references(size), "anchor long, doc_id long, own binary")
     )
     words = references.agg(F.sum(F.length("own") / 8)).first()[0] or 0
     shard = F.pmod(F.xxhash64("anchor"), F.lit(int(words // SHARD_WORDS) + 1)).alias("shard")
-    streamed = passages.join(references.select("anchor").distinct(), "anchor", "left_semi").select(shard, "doc_id", "sha", "start", "own")
-    salts = streamed.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / STREAMED).cast("int").alias("salts"))
+    asking = passages.join(references.select("anchor").distinct(), "anchor", "left_semi")
+    streamed = asking.select(shard, "doc_id", "twin", "start", "own")
+    salts = settle(asking.select(shard).groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / STREAMED).cast("int").alias("salts")))
     given = references.select(shard, "doc_id", "own").join(salts, "shard").select(
         "shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "doc_id",
-        F.lit(None).cast("binary").alias("sha"), F.lit(None).cast("int").alias("start"), "own",
+        F.lit(None).cast("long").alias("twin"), F.lit(None).cast("int").alias("start"), "own",
     )
     taken = streamed.join(salts, "shard").select(
-        "shard", F.pmod(F.xxhash64("doc_id", "start"), F.col("salts")).cast("int").alias("salt"), "doc_id", "sha", "start", "own"
+        "shard", F.pmod(F.xxhash64("doc_id", "start"), F.col("salts")).cast("int").alias("salt"), "doc_id", "twin", "start", "own"
     )
     return (
         given.unionAll(taken).repartition("shard", "salt")
         .sortWithinPartitions("shard", "salt", F.col("start").isNotNull(), "doc_id")
-        .mapInArrow(_stream(size), "doc_id long, sha binary, start int")
+        .mapInArrow(_stream(size), "doc_id long, twin long, start int")
     )
