@@ -61,7 +61,14 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(read(spark, sf_dir, "embeddings"))
 
 
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # which uses this module's tokenizer
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": _pipeline,
     "op1_language_id": _op1,
     "op2_exact_dedup": _op2,
     "op3_substring_dedup": _op3,

@@ -24,17 +24,21 @@ def prepare(spark: SparkSession) -> None:
     spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
 
 
-def settle(frame: DataFrame) -> DataFrame:
-    """Written to the cluster's checkpoint folder: computed once, safe from lost executors.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, named in spark.checkpoint.dir.
 
-    The folder is the one in spark.checkpoint.dir; only where that is unset (tests on
-    one machine) a temporary one is used.
+    Only where that is unset (tests on one machine) a temporary one is used.
     """
-    spark = frame.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="biomosaic-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def settle(frame: DataFrame) -> DataFrame:
+    """Written to the shared folder: computed once, safe from lost executors."""
+    shared_dir(frame.sparkSession)
     return frame.checkpoint(eager=True)
 
 

@@ -323,6 +323,16 @@ def shingle_join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Dat
     )
 
 
+def keep_one(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs``, of each component only those with the smallest doc_id.
+
+    Rows that link with nothing stay: null ids, texts without words. Of rows that
+    repeat an id all stay or go together.
+    """
+    gone = shingle_join(docs, k, percent).filter("doc_id <> component_id").select("doc_id")
+    return docs.join(gone.distinct(), "doc_id", "left_anti")
+
+
 def _mixed(placed: DataFrame, seed: int) -> DataFrame:
     """Members of cells with several components, each beside the cell's current leader."""
     whole = Window.partitionBy("cell")
