@@ -205,7 +205,7 @@ class Tree:
 
     def search(self, n: int, at: np.ndarray, percent: int) -> np.ndarray:
         whole = self.high == 255  # a cut count bounds nothing
-        most = np.where(whole, n, np.minimum(self.high, at)).sum(1, dtype=np.int64)
+        most = np.where(whole, np.int64(n), np.minimum(self.high, at)).sum(1)
         least = -(-percent * (n + self.small) // (100 + percent))
         open_ = (most >= least) & (self.large * 100 >= percent * n) & (n * 100 >= percent * self.small)
         hits = []
