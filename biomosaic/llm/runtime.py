@@ -42,6 +42,16 @@ def settle(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+#: Rows of a few numbers that are broadcast at most, some tens of MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def checked(settled: DataFrame) -> DataFrame:
+    """A settled frame of a few numeric columns as the side of a join: broadcast if it has
+    no more rows than BROADCAST_ROWS, else left to a shuffle join."""
+    return F.broadcast(settled) if settled.count() <= BROADCAST_ROWS else settled
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -17,11 +17,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import prepare, settle
+from .runtime import checked, prepare, settle
 from .words import Words, blocks, mix, signed, split
 
 WORDS = 4
@@ -34,7 +35,7 @@ SMALL = 48
 #: Growth of the size bands of the parts.
 BAND = 1.5
 #: Rounds of pairs with a leader before the search.
-STARS = 2
+STARS = 1
 #: Members of a tree node; members of a cell that one task compares with as many.
 LEAF, BLOCK_ROWS = 32, 1024
 
@@ -155,24 +156,32 @@ def _emit_cells(k: int, percent: int, crowds: dict[int, int | None]):
     return run
 
 
-def _emit_sets(k: int):
+def _pack(k: int):
+    """Points, and the words compressed: shorter than the set, which is made from them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3)
         for batch in blocks(batches):
-            sets = shingles(split(batch["text"], lower=True), k)
-            points = [point(s).tobytes() for s in sets]
+            words = split(batch["text"], lower=True)
+            sets = shingles(words, k)
+            texts = [b" ".join(words.text(i) for i in range(a, b)) for a, b in zip(words.ptr[:-1], words.ptr[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
+                    batch["doc_id"],
                     pa.array([_name(s)[0] for s in sets], pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array(points, pa.binary()),
-                    pa.array([s.tobytes() for s in sets], pa.binary()),
+                    pa.array([point(s).tobytes() for s in sets], pa.binary()),
+                    pa.array([squeeze.compress(t) for t in texts], pa.binary()),
                 ],
-                names=["node", "n", "point", "own"],
+                names=["doc_id", "node", "n", "point", "words"],
             )
 
     return run
 
 
+_PACKED = "doc_id long, node long, n long, point binary, words binary"
+
+
 def point(own: np.ndarray) -> np.ndarray:
     """Counts of the groups. Larger counts than a byte are cut to 255, which can only
     bring points nearer, see bound()."""
@@ -246,28 +255,46 @@ def _meet(percent: int):
     return run
 
 
-def _verified(percent: int):
+def _near(percent: int):
+    """Pairs whose points allow a link."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            na, nb = np.asarray(batch["na"]), np.asarray(batch["nb"])
-            keep = np.zeros(batch.num_rows, bool)
-            for row in range(batch.num_rows):
-                need = _need(int(na[row]), int(nb[row]), percent)
-                pa_, pb = (np.frombuffer(batch[c][row].as_buffer(), np.uint8) for c in ("pa", "pb"))
-                if bound(na[row], pa_, nb[row], pb) >= need:
-                    x, y = (np.frombuffer(batch[c][row].as_buffer(), np.uint64) for c in ("xa", "xb"))
+            if not batch.num_rows:
+                continue
+            n, m = (np.asarray(batch[c]).astype(np.int64) for c in ("na", "nb"))
+            x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, GROUPS) for c in ("pa", "pb"))
+            enough = bound(n, x, m, y) >= -(-percent * (n + m) // (100 + percent))
+            yield batch.select(["a", "b"]).filter(pa.array(enough & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))))
+
+    return run
+
+
+def _verified(k: int, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = zstandard.ZstdDecompressor().decompress
+        read = lambda column: shingles(split(pa.array(map(open_, column.to_pylist()), pa.binary()).cast(pa.string()), False), k)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                keep = []
+                for x, y in zip(read(batch["wa"]), read(batch["wb"]), strict=True):
                     both = np.sort(np.concatenate([x, y]))
-                    keep[row] = int((both[1:] == both[:-1]).sum()) >= need
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+                    keep.append(int((both[1:] == both[:-1]).sum()) >= _need(len(x), len(y), percent))
+                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    side = lambda s: sets.select(F.col("node").alias(s), *[F.col(c).alias(d + s) for c, d in (("n", "n"), ("point", "p"), ("own", "x"))])
-    fits = (F.least("na", "nb") * 100 >= percent * F.greatest("na", "nb"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b").filter(fits)
-    return met.mapInArrow(_verified(percent), "a long, b long")
+def _links(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs that link: first by their points, then by the sets of those that are left."""
+    points = sets.select("node", "n", "point")
+    at = lambda s: points.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("point").alias(f"p{s}"))
+    near = settle(pairs.join(at("a"), "a").join(at("b"), "b").mapInArrow(_near(percent), "a long, b long"))
+    wanted = settle(near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    held = sets.select("node", "words").join(checked(wanted), "node", "left_semi")
+    side = lambda s: held.select(F.col("node").alias(s), F.col("words").alias(f"w{s}"))
+    return near.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verified(k, percent), "a long, b long")
 
 
 def shingle_join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -294,23 +321,19 @@ def shingle_join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Dat
     total = light.count()
     crowds = {r["node"]: r["rep"] for r in filled.filter(F.col("copies") * 1000 >= total).filter("copies > 1").collect()}
     cells = read.mapInArrow(_emit_cells(k, percent, crowds), "cell long, node long")
-    cells = settle(_mixed(cells.withColumn("comp", F.col("node")), 0))
-    named = cells.select("node").distinct().join(filled, "node").select(F.col("rep").alias("doc_id"))
-    candidates = read.join(named.distinct(), "doc_id", "left_semi")
-    sets = settle(
-        candidates.mapInArrow(_emit_sets(k), "node long, n long, point binary, own binary").dropDuplicates(["node"])
-    )
+    cells = settle(_mixed(cells.withColumn("comp", F.col("node"))))
+    # One row for each node that shares a cell.
+    named = settle(cells.select("node").distinct().join(filled, "node").select(F.col("rep").alias("doc_id"), "node"))
+    packed = read.filter("doc_id IS NOT NULL").mapInArrow(_pack(k), _PACKED)
+    sets = settle(packed.join(checked(named), ["doc_id", "node"], "left_semi").drop("doc_id").dropDuplicates(["node"]))
     joined = None
-    for round_ in range(1, STARS + 1):
-        pairs = cells.filter("comp != lead.comp").select(
-            F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")
-        )
-        joined = _grown(joined, _links(pairs.distinct(), sets, percent))
-        cells = settle(_mixed(_placed(cells.select("cell", "node"), joined), round_))
+    for round_ in range(STARS):
+        joined = _grown(joined, _links(_led(cells, round_), sets, k, percent))
+        cells = settle(_mixed(_placed(cells.select("cell", "node"), joined)))
         if cells.isEmpty():
             break
     else:
-        joined = _grown(joined, _links(_rest(cells, sets, percent), sets, percent))
+        joined = _grown(joined, _links(_rest(cells, sets, percent), sets, k, percent))
     roots = filled.join(joined.withColumnRenamed("id", "node"), "node", "left").select(
         "node", "rep", F.coalesce("component_id", "node").alias("root")
     )
@@ -333,16 +356,25 @@ def keep_one(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFra
     return docs.join(gone.distinct(), "doc_id", "left_anti")
 
 
-def _mixed(placed: DataFrame, seed: int) -> DataFrame:
-    """Members of cells with several components, each beside the cell's current leader."""
+def _mixed(placed: DataFrame) -> DataFrame:
+    """Members of cells with several components."""
     whole = Window.partitionBy("cell")
-    lead = F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("order"), "node", "comp")).over(whole)
     return (
         placed.withColumn("lo", F.min("comp").over(whole))
         .withColumn("hi", F.max("comp").over(whole))
-        .withColumn("lead", lead)
         .filter("lo < hi")
-        .select("cell", "node", "comp", "lead")
+        .select("cell", "node", "comp")
+    )
+
+
+def _led(cells: DataFrame, seed: int) -> DataFrame:
+    """Pairs of each cell's leader with the members of other components."""
+    lead = cells.groupBy("cell").agg(F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("order"), "node", "comp")).alias("lead"))
+    return (
+        cells.join(lead, "cell")
+        .filter("comp != lead.comp")
+        .select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
+        .distinct()
     )
 
 
