@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import Automaton
-from .runtime import prepare, settle
+from .runtime import checked, prepare, settle
 from .words import blocks, mix, signed, split
 
 SIZE, GRAM = 50, 8
@@ -282,7 +282,8 @@ def substring_dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> Data
     asked = judged.filter("NOT copy").groupBy(*row).agg(F.collect_list(F.struct("anchor", "start", "windows")).alias("asked"))
     # Compressed before they are dealt out, texts of the same row are together then.
     packed = read.filter("doc_id IS NOT NULL").mapInArrow(_packed, "doc_id long, twin long, words binary")
-    texts = settle(packed.join(judged.select(*row).distinct(), row, "left_semi").dropDuplicates(row))
+    near = settle(judged.select(*row).distinct())
+    texts = settle(packed.join(checked(near), row, "left_semi").dropDuplicates(row))
     passages = settle(
         texts.join(asked, row).mapInArrow(
             _passages(size), "anchor long, doc_id long, twin long, start int, windows int, own binary"
