@@ -15,8 +15,8 @@ from .plans.study import StudyTables
 from .sources.constants import crosswalk_pairs
 from .sources.tables import conform
 
-# Wide enough for the keys of any scale.
-KEY_WIDTH = 12
+# Digits of the largest long: no key is ever cut.
+KEY_WIDTH = 19
 
 # The columns in use, declared so that opening a table needs no job.
 TABLES = {

@@ -22,7 +22,7 @@ def _in_state(state: str):
 def _labels(pairs: DataFrame, map_units: DataFrame) -> DataFrame:
     old = map_units.select(F.col("mu_code").alias("mu_2001"), F.col("mu_name").alias("old_name"))
     new = map_units.select(F.col("mu_code").alias("mu_2011"), F.col("mu_name").alias("new_name"))
-    return F.broadcast(pairs).join(old, "mu_2001").join(new, "mu_2011")
+    return pairs.join(old, "mu_2001").join(new, "mu_2011")
 
 
 def crosswalk_transitions(
@@ -35,16 +35,14 @@ def crosswalk_transitions(
     """Number of submodels per pair of map units and pair of presence values.
 
     Only included submodels of included species count, and only those with a
-    presence record in both units. ``pairs`` is a short constant table, the one
-    input that is always broadcast.
+    presence record in both units. ``pairs`` may be of any length; Spark
+    broadcasts it where its size allows, as it knows that of a constant table.
 
     The match of old with new records of a submodel is not a self-join: one
     scan counts the records of each side per submodel, and their product is the
     number of matches.
     """
-    sides = F.broadcast(
-        pairs.select(*_PAIR, F.explode(F.array("mu_2001", "mu_2011")).alias("mu_code")).distinct()
-    )
+    sides = pairs.select(*_PAIR, F.explode(F.array("mu_2001", "mu_2011")).alias("mu_code")).distinct()
     included = (
         submodels.filter(F.col("include_submodel") == 1)
         .select(fold("species_model_code").alias("smc_key"), fold("uc").alias("uc_key"))

@@ -39,6 +39,11 @@ def _occupied(ranges: DataFrame, species: DataFrame | None) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("records"))
         .withColumn("uc_key", fold("uc"))
     )
+    return _of_species(records, species)
+
+
+def _of_species(records: DataFrame, species: DataFrame | None) -> DataFrame:
+    """Records of the listed species only, before anything else is joined or shuffled."""
     if species is None:
         return records
     return records.join(species.select(fold("uc").alias("uc_key")), "uc_key", "left_semi")
@@ -57,7 +62,7 @@ def species_season_huc(
     meet the ranges, so that a HUC with many boundaries is never expanded.
     """
     recorded = (
-        boundary_species.select("boundary", fold("species_cd").alias("uc_key"))
+        _of_species(boundary_species.select("boundary", fold("species_cd").alias("uc_key")), species)
         .join(boundary_hucs(hucs, boundaries), "boundary")
         .select("uc_key", "huc12rng")
         .distinct()
@@ -83,8 +88,9 @@ def species_huc_habitat(
 
     With ``compat`` the cells of a HUC count once per range record of it.
     """
+    counted = boundary_species.select("boundary", fold("species_cd").alias("uc_key"), "count")
     cells = (
-        boundary_species.select("boundary", fold("species_cd").alias("uc_key"), "count")
+        _of_species(counted, species)
         .join(boundary_hucs(hucs, boundaries), "boundary")
         .groupBy("uc_key", "huc12rng")
         .agg(F.sum("count").alias("cells"))

@@ -23,7 +23,7 @@ def _blank(c: Column) -> Column:
 
 
 def _any_value(c: Column) -> Column:
-    return c.isNull() | (c == ANY_VALUE)
+    return c.isNull() | (fold(c) == ANY_VALUE.lower())
 
 
 def _sea_level(c: Column) -> Column:

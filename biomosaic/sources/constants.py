@@ -29,4 +29,6 @@ CROSSWALK_PAIRS = (
 
 
 def crosswalk_pairs(spark: SparkSession, pairs=CROSSWALK_PAIRS) -> DataFrame:
-    return spark.createDataFrame(list(pairs), "mu_2001 long, mu_2011 long")
+    """Pairs as a constant relation, whose size Spark knows when it plans a join."""
+    rows = ", ".join(f"({old:d}L, {new:d}L)" for old, new in pairs)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS pairs(mu_2001, mu_2011)")
