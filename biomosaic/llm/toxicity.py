@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .grams import buckets, spelled
-from .runtime import bounded_sample, fold_of, prepare
+from .runtime import bounded_sample, fold_of, prepare, settle
 from .words import blocks
 
 #: Character n-grams and the bits of their hashes.
@@ -33,51 +33,66 @@ def _present(text: str | None, seen: np.ndarray) -> np.ndarray:
     return found
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many texts of a class each bucket occurs."""
     seen = np.zeros(1 << BITS, bool)
     for batch in blocks(batches):
-        grams = [_present(t, seen).astype(np.int32) for t in batch["text"].to_pylist()]
+        held = np.zeros((2, 1 << BITS), np.int64)
+        for label, text in zip(batch["toxic"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            held[label, _present(text, seen)] += 1
+        label, gram = np.nonzero(held)
         yield pa.RecordBatch.from_arrays(
-            [batch["toxic"], pa.array(grams, pa.list_(pa.int32()))], names=["toxic", "grams"]
+            [pa.array(label.astype(np.int32)), pa.array(gram.astype(np.int32)), pa.array(held[label, gram])],
+            names=["toxic", "gram", "n"],
         )
 
 
-def fit(sample: pd.DataFrame) -> pd.DataFrame:
-    """(gram, weight): log-count ratio times coefficient; gram -1 is the constant.
+def log_ratios(held: np.ndarray) -> np.ndarray:
+    """Log-count ratio of each bucket; 0 where it is within chance."""
+    good, bad = held + ALPHA
+    ratio = np.log((bad / bad.sum()) / (good / good.sum()))
+    return np.where(np.abs(ratio) >= SURE * np.sqrt(1 / bad + 1 / good), ratio, 0.0)
+
+
+def _features(used: np.ndarray):
+    """Places among the ``used`` buckets of those that a text has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << BITS, bool)
+        place = np.full(1 << BITS, -1, np.int32)
+        place[used] = np.arange(len(used), dtype=np.int32)
+        for batch in blocks(batches):
+            found = [place[_present(t, seen)] for t in batch["text"].to_pylist()]
+            grams = pa.array([x[x >= 0] for x in found], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch["toxic"], grams], names=["toxic", "grams"])
 
-    Logistic regression with both classes weighted alike, by accelerated gradient
-    steps. Needs rows of both classes, else nothing is learned.
+    return run
+
+
+def fit(sample: pd.DataFrame, ratio: np.ndarray) -> tuple[np.ndarray, float]:
+    """Coefficients times ratios of the used buckets, and the constant.
+
+    Logistic regression on the ratios of the buckets that a text has, with both classes
+    weighted alike, by accelerated gradient steps.
     """
     y = sample["toxic"].to_numpy().astype(float)
-    if len(set(y)) < 2:
-        return pd.DataFrame({"gram": [-1], "weight": [0.0]})
-    sizes = sample["grams"].map(len).to_numpy()
-    flat = np.concatenate([*sample["grams"], np.empty(0, np.int32)]).astype(np.int64)
-    row = np.repeat(np.arange(len(y)), sizes)
-    n = 1 << BITS
-    bad = np.bincount(flat[y[row] == 1], minlength=n) + ALPHA
-    good = np.bincount(flat[y[row] == 0], minlength=n) + ALPHA
-    ratio = np.log((bad / bad.sum()) / (good / good.sum()))
-    used = np.flatnonzero(np.abs(ratio) >= SURE * np.sqrt(1 / bad + 1 / good))
-    place = np.full(n, -1)
-    place[used] = np.arange(len(used))
-    keep = place[flat] >= 0
-    col, row = place[flat[keep]], row[keep]
-    value = ratio[used][col]
-    weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
+    col = np.concatenate([*sample["grams"], np.empty(0, np.int32)]).astype(np.int32)
+    row = np.repeat(np.arange(len(y), dtype=np.int32), sample["grams"].map(len).to_numpy())
+    value = ratio[col]
+    weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, len(y) - y.sum()))
     # A step that suits the steepest direction: at most the mean squared length.
     step = 4 / max(1e-9, float(np.bincount(row, value * value, len(y)) @ weight + 1))
-    w, b = np.zeros(len(used)), 0.0
+    w, b = np.zeros(len(ratio)), 0.0
     ahead, ahead_b, turn = w, b, 1.0
     for _ in range(PASSES):
         z = np.bincount(row, value * ahead[col], len(y)) + ahead_b
         slope = weight * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)
-        step_w = ahead - step * (np.bincount(col, value * slope[row], len(used)) + PENALTY * ahead)
+        step_w = ahead - step * (np.bincount(col, value * slope[row], len(ratio)) + PENALTY * ahead)
         step_b = ahead_b - step * slope.sum()
         after = (1 + np.sqrt(1 + 4 * turn * turn)) / 2
         ahead, ahead_b = step_w + (turn - 1) / after * (step_w - w), step_b + (turn - 1) / after * (step_b - b)
         w, b, turn = step_w, step_b, after
-    return pd.DataFrame({"gram": np.append(used, -1), "weight": np.append(w * ratio[used], b)})
+    return w * ratio, b
 
 
 def _score(model: dict[int, float]):
@@ -99,18 +114,32 @@ def _score(model: dict[int, float]):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(gram, weight): the classifier, fitted on at most ``sample`` texts a class.
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[int, float]:
+    """Weights of buckets, and the constant under -1, from at most ``sample`` texts a class.
 
-    The texts are chosen by a hash of the id among labelled ones. One task fits it,
-    whose input and output have a fixed largest size.
+    The texts are chosen by a hash of the id among labelled ones. Tasks count buckets
+    and extract the telling ones; one task fits, whose input has a fixed largest size.
     """
     marked = labels.filter(F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     known = docs.filter(F.col("text").isNotNull()).select("doc_id").join(marked, "doc_id").distinct()
     chosen = bounded_sample(known, "toxic", sample, "doc_id")
-    texts = docs.select("doc_id", "text").join(chosen, "doc_id").select("toxic", "text")
-    grams = texts.mapInArrow(_features, "toxic int, grams array<int>")
-    return grams.groupBy().applyInPandas(fit, "gram int, weight double")
+    texts = settle(docs.select("doc_id", "text").join(chosen, "doc_id").select("toxic", "text"))
+    if texts.select("toxic").distinct().count() < 2:
+        return {-1: 0.0}
+    counted = texts.mapInArrow(_held, "toxic int, gram int, n long").groupBy("toxic", "gram").agg(F.sum("n").alias("n"))
+    rows = counted.toArrow()  # at most two for each bucket
+    held = np.zeros((2, 1 << BITS))
+    held[np.asarray(rows["toxic"]), np.asarray(rows["gram"])] = np.asarray(rows["n"])
+    ratios = log_ratios(held)
+    used = np.flatnonzero(ratios)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        weights, constant = fit(part, ratios[used])
+        return pd.DataFrame({"gram": np.append(used, -1), "weight": np.append(weights, constant)})
+
+    features = texts.mapInArrow(_features(used), "toxic int, grams array<int>")
+    found = features.groupBy().applyInPandas(run, "gram int, weight double").collect()
+    return {r["gram"]: r["weight"] for r in found}
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
@@ -126,8 +155,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold
     """
     prepare(docs.sparkSession)
     learn = lambda frame: frame.filter(fold_of(F.col("doc_id"), 3) != 1)
-    rows = train(learn(docs), learn(labels), sample).collect()  # at most 2**BITS and the constant
-    model = {r["gram"]: r["weight"] for r in rows} or {-1: 0.0}
+    model = train(learn(docs), learn(labels), sample)
     return docs.select("doc_id", "text").mapInArrow(_score(model), "doc_id long, score double").select(
         "doc_id",
         (fold_of(F.col("doc_id"), 3) == 1).alias("held_out"),
