@@ -261,9 +261,27 @@ class StarSchema:
 
     def screened_ancillary(self) -> DataFrame:
         price, priority = F.col("o_totalprice"), F.col("o_orderpriority")
+        # Each criterion is in use for orders of its own remainder of the whole price.
+        rest = F.floor(price).cast("long") % 97
+        flag = lambda name, value: (rest == value).cast("int").alias(name)
+        text = lambda name, value, word: F.when(rest == value, word).alias(name)
         return _with_unset_criteria(
             self._order_models(
                 (price > 470000).cast("int").alias("hand_model"),
+                F.when(rest == 1, None).otherwise((rest == 2).cast("int")).alias("hydro_fw"),
+                flag("hydro_ow", 3),
+                flag("hydro_wv", 4),
+                flag("hydro_springs", 5),
+                F.when(rest == 6, "Slow").when(rest < 50, "ALL types ").alias("stream_vel"),
+                text("edge_type", 7, "Forest"),
+                text("use_for_int", 8, "Core"),
+                F.when(rest == 9, None).otherwise((rest == 10).cast("int")).alias("cont_patch"),
+                flag("non_c_patch", 11),
+                F.when(rest == 12, 0).when(rest == 13, 40).alias("percent_canopy"),
+                F.when(rest == 14, 30).alias("aux_buff"),
+                text("avoid", 15, "Roads"),
+                flag("urban_include", 16),
+                F.when(rest == 17, 0).alias("slope_max"),
                 F.when(priority == "1-URGENT", None)
                 .when((priority == "5-LOW") & (price < 20000), "Fresh")
                 .otherwise("All Types")

@@ -17,6 +17,7 @@ from ..operators import habitat as hab
 from ..operators import ranges as rng
 from ..operators import screening as scr
 from ..operators import summary as smy
+from ..sources.tables import stored
 
 
 @dataclass(frozen=True)
@@ -37,6 +38,9 @@ class StudyTables:
     uc_width: int = UC_WIDTH
     # Ranges kept from an earlier run; derived from the other tables if absent.
     season_ranges: DataFrame | None = None
+    # Cells by map unit and HUC, and tight and expanded sums by region, likewise.
+    counts: DataFrame | None = None
+    by_region: DataFrame | None = None
 
     @classmethod
     def table_names(cls) -> list[str]:
@@ -44,6 +48,20 @@ class StudyTables:
         return [f.name for f in fields(cls) if f.default is MISSING]
 
 
+def stored_study(study: MacrogroupStudy, path: str) -> MacrogroupStudy:
+    """The study over its counts and regional sums, written once under ``path``.
+
+    ``path`` is a folder that driver and executors share. The sums are made from the
+    written counts; summaries of the returned study read what is stored.
+    """
+    spark = study.tables.taxa.sparkSession
+    tables = replace(study.tables, counts=stored(spark, "counts", study.counts, path))
+    sums = MacrogroupStudy(tables, study.compat).by_region
+    return MacrogroupStudy(
+        replace(tables, by_region=stored(spark, "by_region", sums, path)), study.compat
+    )
+
+
 class MacrogroupStudy:
     def __init__(self, tables: StudyTables, compat: bool = False):
         self.tables = tables
@@ -111,6 +129,8 @@ class MacrogroupStudy:
     @cached_property
     def counts(self) -> DataFrame:
         t = self.tables
+        if t.counts is not None:
+            return t.counts
         return hab.mapunit_huc_counts(t.hucs, t.boundaries, t.boundary_cover)
 
     @cached_property
@@ -147,6 +167,8 @@ class MacrogroupStudy:
 
     @cached_property
     def by_region(self) -> DataFrame:
+        if self.tables.by_region is not None:
+            return self.tables.by_region
         return smy.combine_tight_expanded(
             self.tight, self.expanded, self.tables.vegetation_legend, self.compat
         )

@@ -91,3 +91,23 @@ def write_season_ranges(season_hucs: DataFrame, path: str) -> None:
 
 def read_season_ranges(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("uc string, huc12rng string, season string").parquet(path)
+
+
+# Intermediate results of the study that are worth keeping.
+STORED = {
+    "counts": "huc12rng string, mu_code long, cells long",
+    "by_region": (
+        "spp_code string, region_code int, mg_code string, mg_name string, "
+        "hab_mu_cnt long, hab_mg_cnt long"
+    ),
+}
+
+
+def stored(spark: SparkSession, name: str, frame: DataFrame, root: str) -> DataFrame:
+    """``frame`` written to ``<root>/<name>`` and read again."""
+    frame.write.mode("overwrite").parquet(f"{root}/{name}")
+    return read_stored(spark, name, root)
+
+
+def read_stored(spark: SparkSession, name: str, root: str) -> DataFrame:
+    return spark.read.schema(STORED[name]).parquet(f"{root}/{name}")
