@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import prepare, shards
+from .runtime import checked, prepare, settle, shards
 
 _UPPER = bytes(range(65, 91))
 _TO_LOWER = bytes.maketrans(_UPPER, _UPPER.lower())
@@ -138,17 +138,22 @@ def _with_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, found["digest"]], names=[*batch.schema.names, _OWN])
 
 
-_OWN, _KEY = "__exact_dedup_digest", "__exact_dedup_id"
+_OWN, _KEY, _ROWS = "__exact_dedup_digest", "__exact_dedup_id", "__exact_dedup_rows"
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns: one for each distinct text.
 
-    Of rows that share the kept id and the text, one stays.
+    Of rows that share the kept id and the text, one stays; only such rows are dealt out.
     """
     key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    kept = exact_dedup(docs).filter("kept").select(key.alias(_KEY), F.unhex("text_sha256").alias(_OWN)).distinct()
+    kept = settle(
+        exact_dedup(docs).filter("kept")
+        .groupBy(key.alias(_KEY), F.unhex("text_sha256").alias(_OWN))
+        .agg(F.count(F.lit(1)).alias(_ROWS))
+    )
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     own = docs.mapInArrow(_with_digest, f"{schema}, {_OWN} binary").withColumn(_KEY, key)
-    # The join has dealt rows by these two columns, so that no second shuffle follows.
-    return own.join(kept, [_KEY, _OWN], "left_semi").dropDuplicates([_KEY, _OWN]).select(*docs.columns)
+    once = own.join(checked(kept.filter(F.col(_ROWS) == 1)), [_KEY, _OWN], "left_semi")
+    again = own.join(checked(kept.filter(F.col(_ROWS) > 1)), [_KEY, _OWN], "left_semi").dropDuplicates([_KEY, _OWN])
+    return once.unionByName(again).select(*docs.columns)

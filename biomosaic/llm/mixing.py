@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import prepare, settle
+from .runtime import checked, prepare, settle
 
 #: Binary digits of the exponent, and those found in one pass over the sources.
 DIGITS, DIGITS_AT_ONCE = 25, 5
@@ -119,7 +119,8 @@ def _copied(rows: DataFrame, light: DataFrame, mixture: Mixture) -> DataFrame:
     holds about BLOCK_TOKENS. In the last pass blocks follow in random order: whole
     ones while they end within the rest of the budget, and of the one that reaches it
     the rows, in random order, that begin within it. Rows that agree in source, id and
-    tokens go together.
+    tokens go together. Texts are not dealt out while the tables of sources, blocks and
+    cut rows are small enough to be broadcast.
     """
     seed = F.lit(mixture.seed)
     sources = settle(light.groupBy(_KEY).agg(F.sum(_N).cast("double").alias("tokens")))
@@ -145,12 +146,11 @@ def _copied(rows: DataFrame, light: DataFrame, mixture: Mixture) -> DataFrame:
     taken = within.withColumn("ahead", ahead).filter("ahead < room").select(
         F.col(_KEY).alias("__t_key"), F.col("doc_id").alias("__t_id"), F.col(_N).alias("__t_n"), F.lit(True).alias("__t_in")
     )
-    settled = settle(taken)
     decided = plan.select(_KEY, F.col("weight").alias("__mix_weight"), F.col("full").alias("__mix_full"), F.col("blocks").alias("__mix_blocks"))
-    rows = rows.join(decided, _KEY).withColumn(_BLOCK, F.pmod(F.xxhash64("doc_id", seed), F.col("__mix_blocks")))
-    rows = rows.join(last.select(_KEY, _BLOCK, F.col("whole").alias("__mix_whole")), [_KEY, _BLOCK], "left")
+    rows = rows.join(checked(decided), _KEY).withColumn(_BLOCK, F.pmod(F.xxhash64("doc_id", seed), F.col("__mix_blocks")))
+    rows = rows.join(checked(last.select(_KEY, _BLOCK, F.col("whole").alias("__mix_whole"))), [_KEY, _BLOCK], "left")
     same = (F.col("__t_key") == F.col(_KEY)) & F.col("__t_id").eqNullSafe(F.col("doc_id")) & (F.col("__t_n") == F.col(_N))
-    rows = rows.join(settled, same, "left")
+    rows = rows.join(checked(settle(taken)), same, "left")
     in_last = F.coalesce("__mix_whole", F.lit(False)) | F.coalesce("__t_in", F.lit(False))
     return rows.withColumn(_COPIES, F.col("__mix_full") + F.when(in_last & (F.col(_N) > 0), 1).otherwise(0))
 

@@ -352,8 +352,8 @@ def keep_one(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFra
     Rows that link with nothing stay: null ids, texts without words. Of rows that
     repeat an id all stay or go together.
     """
-    gone = shingle_join(docs, k, percent).filter("doc_id <> component_id").select("doc_id")
-    return docs.join(gone.distinct(), "doc_id", "left_anti")
+    gone = settle(shingle_join(docs, k, percent).filter("doc_id <> component_id").select("doc_id").distinct())
+    return docs.join(checked(gone), "doc_id", "left_anti").select(*docs.columns)
 
 
 def _mixed(placed: DataFrame) -> DataFrame:
