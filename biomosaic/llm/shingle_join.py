@@ -34,8 +34,8 @@ GROUPS = 256
 SMALL = 48
 #: Growth of the size bands of the parts.
 BAND = 1.5
-#: Rounds of pairs with a leader before the search.
-STARS = 1
+#: Rounds of nearest members before the full search, each in one of SHARE cells.
+NEAREST, SHARE = 1, 4
 #: Members of a tree node; members of a cell that one task compares with as many.
 LEAF, BLOCK_ROWS = 32, 1024
 
@@ -198,10 +198,22 @@ def bound(n: np.ndarray, points: np.ndarray, m: np.ndarray, others: np.ndarray)
     return (n + m - apart) // 2
 
 
+def minima(points: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Summed smaller counts of all pairs: over t, how many groups have t in both."""
+    most = int(min(points.max(initial=0), others.max(initial=0)))
+    if most <= 24:
+        out = np.zeros((len(points), len(others)), np.float32)
+        for t in range(1, most + 1):
+            out += (points >= t).astype(np.float32) @ (others >= t).astype(np.float32).T
+        return out.astype(np.int64)
+    return np.stack([np.minimum(p, others).sum(1, dtype=np.int64) for p in points])
+
+
 class Tree:
     """A packed R-tree of points: leaves of LEAF members in order of size.
 
-    ``search`` gives the members whose overlap with a set could suffice for a link.
+    ``search`` gives the pairs (asked, member) whose overlap could suffice for a link,
+    and its bound: leaves are opened by their largest counts, members by their own.
     """
 
     def __init__(self, n: np.ndarray, points: np.ndarray):
@@ -212,30 +224,40 @@ class Tree:
         self.high = np.maximum.reduceat(self.points, first, axis=0)
         self.small, self.large = self.n[first], self.n[self.first[1:] - 1]
 
-    def search(self, n: int, at: np.ndarray, percent: int) -> np.ndarray:
-        whole = self.high == 255  # a cut count bounds nothing
-        most = np.where(whole, np.int64(n), np.minimum(self.high, at)).sum(1)
+    def search(self, n: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = np.asarray(n, np.int64)[:, None]
+        # Cut counts bound nothing: what they may hide is added.
+        most = minima(at, self.high) + np.where((self.high == 255).any(1), n, 0)
         least = -(-percent * (n + self.small) // (100 + percent))
         open_ = (most >= least) & (self.large * 100 >= percent * n) & (n * 100 >= percent * self.small)
-        hits = []
-        for leaf in np.flatnonzero(open_):
-            a, b = self.first[leaf], self.first[leaf + 1]
-            most = bound(np.int64(n), at, self.n[a:b], self.points[a:b])
-            enough = most >= -(-percent * (n + self.n[a:b]) // (100 + percent))
-            hits.append(self.order[a:b][enough])
-        return np.concatenate(hits) if hits else np.empty(0, np.int64)
-
-
-def _meet(percent: int):
+        asked, hits, bounds = [], [], []
+        for leaf in np.flatnonzero(open_.any(0)):
+            rows = np.flatnonzero(open_[:, leaf])
+            part = slice(self.first[leaf], self.first[leaf + 1])
+            if int(max(at[rows].max(), self.points[part].max())) < 255:
+                most = minima(at[rows], self.points[part])
+            else:
+                most = bound(n[rows], at[rows][:, None], self.n[part], self.points[part][None])
+            need = -(-percent * (n[rows] + self.n[part]) // (100 + percent))
+            i, j = np.nonzero(most >= need)
+            asked.append(rows[i])
+            hits.append(self.order[part][j])
+            bounds.append(most[i, j])
+        none = np.empty(0, np.int64)
+        return tuple(np.concatenate([none, *x]) for x in (asked, hits, bounds))
+
+
+def _meet(percent: int, nearest: bool):
     """Pairs of different components of one cell whose points allow a link.
 
     Members of the commonest component are connected already, so that only the others
-    are looked up, in the tree of the other block.
+    are looked up, in the tree of the other block. ``nearest``: each only with the one
+    of largest bound.
     """
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         i, j = part["i"].iloc[0], part["j"].iloc[0]
-        points = np.stack([np.frombuffer(x, np.uint8) for x in part["point"]])
+        points = np.frombuffer(b"".join(part["point"]), np.uint8).reshape(-1, GROUPS)
         node, n, comp, where = (part[c].to_numpy() for c in ("node", "n", "comp", "block"))
         values, counts = np.unique(comp, return_counts=True)
         common = comp == values[counts.argmax()]
@@ -244,12 +266,14 @@ def _meet(percent: int):
             asked, told = np.flatnonzero((where == mine) & ~common), np.flatnonzero(where == other)
             if not len(asked) or not len(told):
                 continue
-            tree = Tree(n[told], points[told])
-            for x in asked:
-                hits = told[tree.search(int(n[x]), points[x], percent)]
-                hits = hits[comp[hits] != comp[x]]
-                a.append(np.minimum(node[x], node[hits]))
-                b.append(np.maximum(node[x], node[hits]))
+            rows, hits, bounds = Tree(n[told], points[told]).search(n[asked], points[asked], percent)
+            x, y = asked[rows], told[hits]
+            apart = np.flatnonzero(comp[x] != comp[y])
+            if nearest:
+                apart = apart[np.lexsort((-bounds[apart], x[apart]))]
+                apart = apart[np.diff(x[apart], prepend=-1) != 0]
+            a.append(np.minimum(node[x[apart]], node[y[apart]]))
+            b.append(np.maximum(node[x[apart]], node[y[apart]]))
         return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
 
     return run
@@ -307,10 +331,11 @@ def shingle_join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Dat
     doc_id reachable; rows with a null doc_id link with nothing and have none. An empty
     table gives no rows; further columns are not read.
 
-    Equal sets are one node. In a few rounds the nodes of each cell are paired with one
-    leader of the cell, the same for most cells of a family of copies; what that leaves
-    unconnected in a cell is searched with the tree, in blocks. So every pair that could
-    join two components is looked at, and copies never meet all pairs.
+    Equal sets are one node. The nodes of each cell are first paired with one leader of
+    the cell, the same for most cells of a family of copies, then in some of the cells
+    with their nearest member by the tree; what that leaves unconnected in any cell is
+    searched with the tree, in blocks. So every pair that could join two components is
+    looked at, and copies never meet all pairs.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -326,14 +351,14 @@ def shingle_join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Dat
     named = settle(cells.select("node").distinct().join(filled, "node").select(F.col("rep").alias("doc_id"), "node"))
     packed = read.filter("doc_id IS NOT NULL").mapInArrow(_pack(k), _PACKED)
     sets = settle(packed.join(checked(named), ["doc_id", "node"], "left_semi").drop("doc_id").dropDuplicates(["node"]))
-    joined = None
-    for round_ in range(STARS):
-        joined = _grown(joined, _links(_led(cells, round_), sets, k, percent))
+    joined = _grown(None, _links(_led(cells), sets, k, percent))
+    for round_ in range(NEAREST + 1):
         cells = settle(_mixed(_placed(cells.select("cell", "node"), joined)))
         if cells.isEmpty():
             break
-    else:
-        joined = _grown(joined, _links(_rest(cells, sets, percent), sets, k, percent))
+        last = round_ == NEAREST
+        some = cells if last else cells.filter(F.pmod(F.xxhash64("cell", F.lit(round_)), F.lit(SHARE)) == 0)
+        joined = _grown(joined, _links(_rest(some, sets, percent, not last), sets, k, percent))
     roots = filled.join(joined.withColumnRenamed("id", "node"), "node", "left").select(
         "node", "rep", F.coalesce("component_id", "node").alias("root")
     )
@@ -367,9 +392,9 @@ def _mixed(placed: DataFrame) -> DataFrame:
     )
 
 
-def _led(cells: DataFrame, seed: int) -> DataFrame:
+def _led(cells: DataFrame) -> DataFrame:
     """Pairs of each cell's leader with the members of other components."""
-    lead = cells.groupBy("cell").agg(F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("order"), "node", "comp")).alias("lead"))
+    lead = cells.groupBy("cell").agg(F.min(F.struct(F.xxhash64("node").alias("order"), "node", "comp")).alias("lead"))
     return (
         cells.join(lead, "cell")
         .filter("comp != lead.comp")
@@ -391,13 +416,16 @@ def _grown(joined: DataFrame | None, links: DataFrame) -> DataFrame:
     return settle(components(links, "a", "b"))
 
 
-def _rest(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs still to verify: of one cell, of different components, allowed by the tree."""
+def _rest(cells: DataFrame, sets: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Pairs still to verify: of one cell, of different components, allowed by the tree.
+
+    Cells of two have had their pair with the leader.
+    """
     groups = cells.groupBy("cell").agg(
         F.count_distinct("node").alias("members"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sign")
     )
     # Cells with the same members are searched once.
-    once = groups.groupBy("members", "sign").agg(F.min("cell").alias("cell"))
+    once = groups.filter("members > 2").groupBy("members", "sign").agg(F.min("cell").alias("cell"))
     rows = (
         cells.select("cell", "node", "comp").distinct()
         .join(once.select("cell", "members"), "cell")
@@ -409,4 +437,4 @@ def _rest(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         "cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
         "block", "node", "comp", "n", "point",
     )
-    return dealt.groupBy("cell", "i", "j").applyInPandas(_meet(percent), "a long, b long").distinct()
+    return dealt.groupBy("cell", "i", "j").applyInPandas(_meet(percent, nearest), "a long, b long").distinct()

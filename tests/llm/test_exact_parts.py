@@ -112,14 +112,15 @@ def test_tree_finds_all_that_can_link():
     n, points = np.array([len(s) for s in sets]), np.stack([shingle_join.point(s) for s in sets])
     tree = shingle_join.Tree(n, points)
     for i in (0, 40, 199):
-        found = set(tree.search(int(n[i]), points[i], 85).tolist())
+        found = set(tree.search(n[i : i + 1], points[i : i + 1], 85)[1].tolist())
+        assert (shingle_join.minima(points[i : i + 1], points)[0] == np.minimum(points[i], points).sum(1, dtype=int)).all()
         for j, other in enumerate(sets):
             both = len(np.intersect1d(sets[i], other))
             assert shingle_join.bound(n[i], points[i], n[j], points[j]) >= both
             if 100 * both >= 85 * (n[i] + n[j] - both):
                 assert j in found
     crowded = np.full(shingle_join.GROUPS, 255, np.uint8)  # cut counts bound nothing
-    assert len(shingle_join.Tree(np.array([200000]), crowded[None]).search(190000, crowded, 85)) == 1
+    assert len(shingle_join.Tree(np.array([200000]), crowded[None]).search(np.array([190000]), crowded[None], 85)[1]) == 1
 
 
 def test_crc_of_pieces_is_little_endian():

@@ -100,7 +100,9 @@ def test_shingle_join_without_leader_rounds(docs, monkeypatch):
     """The search alone, over blocks of a few members, joins what leaders would."""
     expected = rows_of(shingle_join.shingle_join(docs))
     monkeypatch.setattr(shingle_join, "BLOCK_ROWS", 2)
-    monkeypatch.setattr(shingle_join, "_led", lambda cells, seed: cells.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
+    led = shingle_join._led
+    two = lambda cells: cells.groupBy("cell").agg(F.count_distinct("node").alias("m")).filter("m = 2").select("cell")
+    monkeypatch.setattr(shingle_join, "_led", lambda cells: led(cells.join(two(cells), "cell")))
     assert rows_of(shingle_join.shingle_join(docs)) == expected
 
 
