@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import settle
+from .runtime import settle, shards
+
+#: Links kept in a partition between rounds.
+LINKS = 20_000
 
 
 def _smallest(edges: DataFrame, upward: bool) -> DataFrame:
@@ -51,6 +54,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         before = now
         if not now[0]:
             break
-        stars = settle(_smallest(_smallest(stars, True), False))
+        # Links do not multiply: few of them need few partitions, and so few files.
+        parts = min(shards(edges.sparkSession), now[0] // LINKS + 1)
+        stars = settle(_smallest(_smallest(stars, True), False).coalesce(parts))
     leaves = stars.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
     return leaves.unionAll(leaves.select(F.col("component_id").alias("id"), "component_id").distinct())
