@@ -43,10 +43,10 @@ LEAF, BLOCK_ROWS = 32, 1024
 def shingles(words: Words, k: int = WORDS) -> list[np.ndarray]:
     """The sorted set of each document: all runs of k words, or the whole of fewer."""
     h = words.hashes()
-    n = len(h)
-    run = np.zeros(n, np.uint64)
+    m = max(0, len(h) - k + 1)
+    run = np.zeros(m, np.uint64)
     for i in range(k):
-        run[: n - i] = mix(run[: n - i] ^ h[i:])
+        run = mix(run ^ h[i : i + m])
     out = []
     for a, b in zip(words.ptr[:-1], words.ptr[1:], strict=True):
         if b - a >= k:

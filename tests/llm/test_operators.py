@@ -116,6 +116,15 @@ def test_shingle_join_odd(odd_docs):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [1, 2, 3, 4, 6, 6, 8, 9, 10, None, None]))
 
 
+@pytest.mark.parametrize("k", [4, 5])
+def test_shingle_join_few_words_alone(make_docs, k):
+    """A partition of fewer words than k, but more than one, has a shingle."""
+    for n in range(1, k + 2):
+        docs = make_docs((1, " ".join("abcdef"[:n]))).coalesce(1)
+        assert [tuple(r) for r in shingle_join.shingle_join(docs, k).collect()] == [(1, max(1, n - k + 1), 1)]
+        assert shingle_join.keep_one(docs, k).count() == 1
+
+
 def _removed(rows, size=50):
     first, out = {}, {}
     words = {k: WORD.findall(v or "") for k, v in rows}
