@@ -197,6 +197,21 @@ def test_suffix_tree_is_a_distribution(make_docs):
         assert shares.sum() + two.apply(np.array([i]), np.array([-1]), size, rest)[0] == pytest.approx(1)
 
 
+def test_suffix_tree_scores_do_not_saturate(make_docs, monkeypatch):
+    """Rare words are told apart by a context of four words in a corpus where they have
+    hardly a share, the same whether weights are held or joined."""
+    noise = [" ".join(f"n{x}" for x in np.random.default_rng(7 + i).integers(0, 40, 30000)) for i in range(4)]
+    rare = [f"{a} y c d {e}" for a, e in ("xp", "zq") for _ in range(10)]  # x: less than 2e-4 of all
+    train = [k for k in range(100) if fold(k, 5) != 1]
+    asked = [k for k in range(100) if fold(k, 5) == 1]
+    docs = make_docs(*zip(train, [*noise, *rare], strict=False), (asked[0], "x y c d p"), (asked[1], "x y c d q"))
+    score = lambda: {r.doc_id: r.score for r in suffix_tree_lm.suffix_tree_lm(docs).collect()}
+    first = score()
+    assert first[asked[0]] - first[asked[1]] > 1
+    monkeypatch.setattr(suffix_tree_lm, "HELD_SHARE", 1e-2)
+    assert score() == pytest.approx(first)
+
+
 def test_suffix_tree_odd(odd_docs):
     found = suffix_tree_lm.suffix_tree_lm(odd_docs).collect()
     assert len(found) == 14 and all(r.n_tokens >= 1 and r.score < 0 for r in found)
