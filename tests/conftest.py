@@ -31,8 +31,3 @@ def table(spark):
     from biomosaic.sources.tables import schema
 
     return lambda name, *rows: spark.createDataFrame(list(rows), schema(name))
-
-
-def rows(frame, *columns):
-    picked = frame.select(*columns) if columns else frame
-    return sorted((tuple(r) for r in picked.collect()), key=lambda r: tuple((x is None, str(x)) for x in r))

@@ -1,4 +1,4 @@
-from conftest import rows
+from tables import rows
 
 from biomosaic.operators.crosswalk import crosswalk_pivot, crosswalk_transitions
 from biomosaic.sources.constants import CROSSWALK_PAIRS, crosswalk_pairs

@@ -1,4 +1,4 @@
-from conftest import rows
+from tables import rows
 
 from biomosaic.operators import ranges as rng
 

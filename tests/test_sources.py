@@ -1,7 +1,7 @@
 from decimal import Decimal
 
 import pytest
-from conftest import rows
+from tables import rows
 from pyspark.sql import functions as F
 
 from biomosaic.functions.numbers import fixed, parse_fixed

@@ -4,7 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
-from conftest import rows
+from tables import rows
 
 from biomosaic.operators import habitat as hab
 from biomosaic.operators import summary as smy
