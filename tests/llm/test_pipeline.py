@@ -20,7 +20,7 @@ def folder(spark, corpus, make_docs, tmp_path_factory):
 
 
 def test_registered():
-    assert [f"op{n}_" for n in range(1, 11)] == [next(k for k in QUERIES if k.startswith(f"op{n}_"))[: len(f"op{n}_")] for n in range(1, 11)]
+    assert [f"op{n}_" for n in range(1, 14)] == [next(k for k in QUERIES if k.startswith(f"op{n}_"))[: len(f"op{n}_")] for n in range(1, 14)]
     assert "pipeline" in QUERIES and set(ORACLES) <= set(QUERIES) and corpus_pipeline.ORACLE_SQL is None
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "language ID", "exact dedup", "n-gram Jaccard join", "mixing sources to target weights", "packing"]
