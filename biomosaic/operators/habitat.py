@@ -23,6 +23,7 @@ from ..functions.codes import (
 )
 from .ranges import boundary_hucs, region_range_bits, submodel_range
 from .screening import included_submodels
+from .triangle import Triangle
 
 
 def macrogroup_units(legend: DataFrame) -> DataFrame:
@@ -184,6 +185,15 @@ def _known_classes(counts: DataFrame, cover_legend: DataFrame | None) -> DataFra
     return counts.join(classes, "mu_code")
 
 
+def _tight_cells(
+    selected: DataFrame, counts: DataFrame, huc_region: DataFrame, in_range: DataFrame
+) -> Triangle:
+    placed = counts.join(huc_region.distinct(), "huc12rng")
+    return Triangle(
+        selected, placed, ["region_code", "mu_code"], in_range, ["uc_key", "region_code"], ["huc12rng"]
+    )
+
+
 def tight_counts(
     habitat: DataFrame,
     submodels: DataFrame,
@@ -196,10 +206,11 @@ def tight_counts(
 ) -> DataFrame:
     """Cells of the selected map units per species, region, unit and HUC.
 
-    The join starts from cells that exist: selected units meet the HUCs that
-    contain them, and the range then keeps those it covers. A selection has at
-    most the HUCs of one region to meet, so the work of a join partition is
-    bounded by its size, and hot partitions are split by size at run time. ``zero_fill`` starts
+    Selected units, the HUCs that contain them and the ranges of the species
+    form a triangle. A selection is opened by the HUCs that have the unit or by
+    those of the species' range in the region, whichever are fewer: a unit that
+    every species selects does not bring all its HUCs to species that live in
+    few, nor a wide range all its HUCs to a rare unit. ``zero_fill`` starts
     from all HUCs in range instead and reports units without cells there as
     zero, which adds nothing to any sum.
     """
@@ -215,12 +226,7 @@ def tight_counts(
             .join(counts, ["huc12rng", "mu_code"], "left")
         )
     else:
-        placed = counts.join(huc_region.distinct(), "huc12rng")
-        cells = (
-            selected.join(placed, ["region_code", "mu_code"])
-            .join(in_range, ["uc_key", "region_code", "huc12rng"])
-            .filter(_SHARED_SEASON)
-        )
+        cells = _tight_cells(selected, counts, huc_region, in_range).joined().filter(_SHARED_SEASON)
     return cells.select(
         "spp_code",
         "region_code",

@@ -18,7 +18,9 @@ PRESENCE_LIMIT = 4
 
 
 def boundary_hucs(hucs: DataFrame, boundaries: DataFrame) -> DataFrame:
-    """HUC of each boundary."""
+    """HUC of each boundary; boundaries that are stored with it bring it along."""
+    if "huc12rng" in boundaries.columns:
+        return boundaries.select("boundary", "huc12rng")
     return boundaries.join(hucs, boundaries["huc_id"] == hucs["objectid"]).select(
         "boundary", "huc12rng"
     )

@@ -5,7 +5,8 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codes import UC_WIDTH, fold, region_name, season_name, species_part
@@ -169,24 +170,105 @@ def species_without_ancillary(
     return unused_only.join(forest_users, "uc_key", "left_semi").select("uc")
 
 
+FUNNEL = "step int, criterion string, records long"
+
+
+class Funnel:
+    """Records left after each criterion in turn.
+
+    Counted over a frame of its own (:meth:`over`), or while another result is made of
+    it: :meth:`watch` returns the frame to go on with, and :meth:`counted` waits for the
+    first action over that. Where Spark ends that run early, since a join has an empty
+    side, they are counted separately. Rows computed again after the loss of an executor
+    can be counted again in the run, as Spark's observed metrics are.
+    """
+
+    def __init__(self, criteria: dict[str, Column]):
+        self.steps = [("all records", F.lit(True))]
+        for name, condition in criteria.items():
+            self.steps.append((name, self.steps[-1][1] & condition))
+        self._observation: Observation | None = None
+        self._watched: DataFrame | None = None
+
+    def _counts(self) -> list[Column]:
+        return [F.count_if(c).alias(f"n{i}") for i, (_, c) in enumerate(self.steps)]
+
+    def over(self, frame: DataFrame) -> DataFrame:
+        rows = [
+            F.struct(F.lit(i).alias("step"), F.lit(name).alias("criterion"), F.col(f"n{i}").alias("records"))
+            for i, (name, _) in enumerate(self.steps)
+        ]
+        return frame.agg(*self._counts()).select(F.inline(F.array(*rows)))
+
+    def watch(self, frame: DataFrame) -> DataFrame:
+        self._observation, self._watched = Observation(), frame
+        return frame.observe(self._observation, *self._counts())
+
+    def counted(self, spark: SparkSession) -> DataFrame:
+        try:
+            found = self._observation.get
+        except Py4JJavaError:  # no metrics: the run did not come to the frame
+            return self.over(self._watched)
+        rows = [(i, name, found[f"n{i}"]) for i, (name, _) in enumerate(self.steps)]
+        return spark.createDataFrame(rows, FUNNEL)
+
+
 def filter_funnel(frame: DataFrame, criteria: dict[str, Column]) -> DataFrame:
     """Records left after each criterion in turn, counted in one pass."""
-    steps = [("all records", F.lit(True))]
-    for name, condition in criteria.items():
-        steps.append((name, steps[-1][1] & condition))
-    counts = frame.agg(*[F.count_if(c).alias(f"n{i}") for i, (_, c) in enumerate(steps)])
-    rows = [
-        F.struct(F.lit(i).alias("step"), F.lit(name).alias("criterion"), F.col(f"n{i}").alias("records"))
-        for i, (name, _) in enumerate(steps)
-    ]
-    return counts.select(F.inline(F.array(*rows)))
+    return Funnel(criteria).over(frame)
+
+
+def _of_submodels(frame: DataFrame, submodels: DataFrame) -> DataFrame:
+    """Rows of ``frame`` with the flag of their submodel, included or not."""
+    models = submodels.select(fold("species_model_code").alias("_smc"), "include_submodel")
+    return frame.join(models, fold(frame["species_model_code"]) == F.col("_smc")).drop("_smc")
+
+
+def _forest_selections(map_units: DataFrame, presence: DataFrame, submodels: DataFrame) -> DataFrame:
+    forest = map_units.filter(F.col("forest") == 1)
+    return _of_submodels(presence.filter(F.col("pres") == 1).join(forest, "mu_code"), submodels)
+
+
+def _funnels() -> dict[str, Funnel]:
+    """The funnels of the habitat list: of submodels, forest selections and taxa."""
+    included = {"include_submodel": F.col("include_submodel") == 1}
+    return {
+        "submodels": Funnel(included | {c: unused(c) for c in UNUSED_WHEN}),
+        "forest selections": Funnel(included),
+        "taxa": Funnel({"include_spp": F.col("include_spp") == 1}),
+    }
 
 
 def submodel_funnel(ancillary: DataFrame, submodels: DataFrame) -> DataFrame:
     """Funnel of the land-cover-only filter over all submodels."""
-    models = submodels.select(
-        fold("species_model_code").alias("_smc"), "include_submodel"
+    return _funnels()["submodels"].over(_of_submodels(ancillary, submodels))
+
+
+def forest_funnel(map_units: DataFrame, presence: DataFrame, submodels: DataFrame) -> DataFrame:
+    """Funnel of the selected forest units over all submodels."""
+    return _funnels()["forest selections"].over(_forest_selections(map_units, presence, submodels))
+
+
+def taxa_funnel(taxa: DataFrame) -> DataFrame:
+    """Funnel of the species."""
+    return _funnels()["taxa"].over(taxa)
+
+
+def counted_habitat_list(
+    ancillary: DataFrame,
+    submodels: DataFrame,
+    presence: DataFrame,
+    map_units: DataFrame,
+    taxa: DataFrame,
+    uc_width: int = UC_WIDTH,
+) -> tuple[DataFrame, dict[str, Funnel]]:
+    """:func:`species_habitat_list` from its tables, and the three funnels, which are
+    counted in the same run: no table is read for them."""
+    funnels = _funnels()
+    models = funnels["submodels"].watch(_of_submodels(ancillary, submodels))
+    strict = models.filter(funnels["submodels"].steps[-1][1]).select(
+        species_part(F.col("species_model_code"), uc_width).alias("uc"), "species_model_code", *UNUSED_WHEN
     )
-    joined = ancillary.join(models, fold(ancillary["species_model_code"]) == F.col("_smc"))
-    included = {"include_submodel": F.col("include_submodel") == 1}
-    return filter_funnel(joined, included | {c: unused(c) for c in UNUSED_WHEN})
+    selections = funnels["forest selections"].watch(_forest_selections(map_units, presence, submodels))
+    forest = selections.filter(F.col("include_submodel") == 1)
+    return species_habitat_list(strict, forest, funnels["taxa"].watch(taxa), uc_width), funnels

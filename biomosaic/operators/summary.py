@@ -13,6 +13,7 @@ from .habitat import (
     macrogroup_names,
     macrogroup_units,
 )
+from .triangle import Triangle
 
 _ANY_CELLS = "hab_mu_cnt > 0 OR hab_mg_cnt > 0"
 
@@ -79,6 +80,34 @@ def mapunit_tallies(habitat: DataFrame, legend: DataFrame) -> DataFrame:
     )
 
 
+def unit_bitmaps(habitat: DataFrame) -> DataFrame:
+    """The selected units of each species and macrogroup as bitmaps.
+
+    A bitmap covers one range of unit codes, its bucket. Bitmaps of a bucket can be
+    merged, so that units are counted once over any macrogroups or species, and they are
+    made and kept without the extra shuffle of a distinct count.
+    """
+    return habitat.groupBy(
+        "spp_code", "mg_code", F.bitmap_bucket_number("mu_code").alias("bucket")
+    ).agg(F.bitmap_construct_agg(F.bitmap_bit_position("mu_code")).alias("units"))
+
+
+def count_units(bitmaps: DataFrame, *keys: str) -> DataFrame:
+    """Distinct units per ``keys``, from bitmaps merged bucket by bucket."""
+    merged = bitmaps.groupBy(*keys, "bucket").agg(F.bitmap_or_agg("units").alias("units"))
+    return merged.groupBy(*keys).agg(F.sum(F.bitmap_count("units")).alias("n_mu"))
+
+
+def bitmap_tallies(bitmaps: DataFrame, legend: DataFrame) -> DataFrame:
+    """:func:`mapunit_tallies` from :func:`unit_bitmaps`."""
+    all_units = unit_bitmaps(macrogroup_units(legend).withColumn("spp_code", F.lit(None)))
+    return (
+        count_units(bitmaps, "spp_code", "mg_code").withColumnRenamed("n_mu", "n_mu_tight")
+        .join(count_units(all_units, "mg_code").withColumnRenamed("n_mu", "n_mu_expanded"), "mg_code", "left")
+        .select("spp_code", "mg_code", "n_mu_tight", "n_mu_expanded")
+    )
+
+
 def _with_measures(
     sums: DataFrame, *leading: str, area_of_expanded: str = "hab_mg_cnt"
 ) -> DataFrame:
@@ -141,7 +170,8 @@ def species_macrogroup_ratio(
     """Tight and expanded cells over the whole range, without regions.
 
     ``compat`` counts a unit once per macrogroup it belongs to on the tight
-    side and once per legend row on the expanded side.
+    side and once per legend row on the expanded side. A selected unit is opened by its
+    HUCs or by those of the species' range, whichever are fewer.
     """
     keys = ["spp_code", "mg_code"]
     in_range = huc_habitat.select(fold("uc").alias("uc_key"), "huc12rng").distinct()
@@ -160,8 +190,10 @@ def species_macrogroup_ratio(
         units = macrogroup_units(legend)
     selected = selected.withColumn("uc_key", fold("spp_code"))
     tight = (
-        selected.join(_known_classes(counts, cover_legend), "mu_code")
-        .join(in_range, ["uc_key", "huc12rng"], "left_semi")
+        Triangle(
+            selected, _known_classes(counts, cover_legend), ["mu_code"], in_range, ["uc_key"], ["huc12rng"]
+        )
+        .joined()
         .select(*keys_named, (F.col("cells") * F.col("rows")).alias("hab_mu_cnt"))
     )
     expanded = (

@@ -11,8 +11,9 @@ from dataclasses import MISSING, dataclass, fields, replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..functions.codes import UC_WIDTH
+from ..functions.codes import UC_WIDTH, fold, species_part
 from ..operators import habitat as hab
 from ..operators import ranges as rng
 from ..operators import screening as scr
@@ -38,9 +39,13 @@ class StudyTables:
     uc_width: int = UC_WIDTH
     # Ranges kept from an earlier run; derived from the other tables if absent.
     season_ranges: DataFrame | None = None
+    # The screening kept from an earlier run: all scored species, 1 for those that pass.
+    screening: DataFrame | None = None
     # Cells by map unit and HUC, and tight and expanded sums by region, likewise.
     counts: DataFrame | None = None
     by_region: DataFrame | None = None
+    # Selected units as bitmaps; tallies are then merged from them.
+    unit_bitmaps: DataFrame | None = None
 
     @classmethod
     def table_names(cls) -> list[str]:
@@ -55,7 +60,11 @@ def stored_study(study: MacrogroupStudy, path: str) -> MacrogroupStudy:
     written counts; summaries of the returned study read what is stored.
     """
     spark = study.tables.taxa.sparkSession
-    tables = replace(study.tables, counts=stored(spark, "counts", study.counts, path))
+    tables = replace(
+        study.tables,
+        screening=stored(spark, "screening", study.screening, path),
+        counts=stored(spark, "counts", study.counts, path),
+    )
     sums = MacrogroupStudy(tables, study.compat).by_region
     return MacrogroupStudy(
         replace(tables, by_region=stored(spark, "by_region", sums, path)), study.compat
@@ -70,12 +79,53 @@ class MacrogroupStudy:
     def with_season_ranges(self, season_ranges: DataFrame) -> MacrogroupStudy:
         return MacrogroupStudy(replace(self.tables, season_ranges=season_ranges), self.compat)
 
+    def of_species(self, code: str) -> MacrogroupStudy:
+        """The study of one species; every table is reduced to it where it is read.
+
+        Stored sums and bitmaps are read by their folded code, of which they keep buckets.
+        """
+        t = self.tables
+        key = fold(F.lit(code))
+
+        def only(frame: DataFrame | None, column: str) -> DataFrame | None:
+            if frame is None:
+                return None
+            if "spp_key" in frame.columns:
+                return frame.filter(F.col("spp_key") == key)
+            own = F.col(column)
+            if column == "species_model_code":
+                own = species_part(own, t.uc_width)
+            return frame.filter(fold(own) == key)
+
+        by_uc = {name: only(getattr(t, name), "uc") for name in ("taxa", "submodels", "ranges", "season_ranges", "screening")}
+        by_model = {name: only(getattr(t, name), "species_model_code") for name in ("ancillary", "presence")}
+        by_code = {name: only(getattr(t, name), "spp_code") for name in ("by_region", "unit_bitmaps")}
+        cells = only(t.boundary_species, "species_cd")
+        return MacrogroupStudy(replace(t, **by_uc, **by_model, **by_code, boundary_species=cells), self.compat)
+
     @cached_property
     def species(self) -> DataFrame:
+        """Species that depend on land cover alone.
+
+        Read from a stored screening, they are a filter over a scan: Spark then knows
+        their size when it plans, and reduces records to them at the scan by a
+        broadcast, or by a Bloom filter where they are too many for that.
+        """
         t = self.tables
+        if t.screening is not None:
+            return t.screening.filter(F.col("screened") == 1).select("uc")
         score = scr.ancillary_score(scr.ancillary_flags(t.ancillary, t.submodels))
         return scr.species_without_ancillary(score, t.submodels, t.presence, t.map_units)
 
+    @cached_property
+    def screening(self) -> DataFrame:
+        """All scored species and whether they are among :attr:`species`, to be stored."""
+        t = self.tables
+        score = scr.ancillary_score(scr.ancillary_flags(t.ancillary, t.submodels))
+        passed = scr.species_without_ancillary(score, t.submodels, t.presence, t.map_units)
+        marked = passed.select("uc", F.lit(1).alias("screened"))
+        return score.select("uc").join(marked, "uc", "left").fillna(0, ["screened"])
+
     def _habitat(self, build, **options) -> DataFrame:
         t = self.tables
         return build(
@@ -121,10 +171,12 @@ class MacrogroupStudy:
 
         The habitat is limited to the screened species already, so the two
         others need no filter of their own: that would only repeat the
-        screening inside the plan.
+        screening inside the plan. A stored screening repeats nothing and keeps
+        other species' records out of the shuffles.
         """
         submodels = hab.submodel_list(self.tables.submodels)
-        return self.habitat_keys, submodels, self._season_hucs(None)
+        species = self.species if self.tables.screening is not None else None
+        return self.habitat_keys, submodels, self._season_hucs(species)
 
     @cached_property
     def counts(self) -> DataFrame:
@@ -168,13 +220,15 @@ class MacrogroupStudy:
     @cached_property
     def by_region(self) -> DataFrame:
         if self.tables.by_region is not None:
-            return self.tables.by_region
+            return self.tables.by_region.drop("spp_key")
         return smy.combine_tight_expanded(
             self.tight, self.expanded, self.tables.vegetation_legend, self.compat
         )
 
     @cached_property
     def tallies(self) -> DataFrame:
+        if self.tables.unit_bitmaps is not None:
+            return smy.bitmap_tallies(self.tables.unit_bitmaps, self.tables.vegetation_legend)
         return smy.mapunit_tallies(self.habitat_keys, self.tables.vegetation_legend)
 
     @cached_property

@@ -77,6 +77,12 @@ def read_tables(spark: SparkSession, root: str, *names: str) -> dict[str, DataFr
     return {name: read_table(spark, name, f"{root}/{name}") for name in names or SCHEMAS}
 
 
+def read_catalog_tables(spark: SparkSession, names: dict[str, str]) -> dict[str, DataFrame]:
+    """Tables of the session's catalogs, by names of up to three parts, conformed to their
+    schemas; ``names`` may point into several databases."""
+    return {table: conform(table, spark.table(name)) for table, name in names.items()}
+
+
 def read_csv_table(spark: SparkSession, table: str, path: str) -> DataFrame:
     """CSV export with a header line, such as the land-cover class list."""
     return spark.read.schema(schema(table)).csv(
@@ -95,6 +101,7 @@ def read_season_ranges(spark: SparkSession, path: str) -> DataFrame:
 
 # Intermediate results of the study that are worth keeping.
 STORED = {
+    "screening": "uc string, screened int",
     "counts": "huc12rng string, mu_code long, cells long",
     "by_region": (
         "spp_code string, region_code int, mg_code string, mg_name string, "
