@@ -6,6 +6,7 @@ import heapq
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,8 @@ from .words import blocks, split
 
 SIZE = 2048
 END_ID = 1
-#: Distinct words whose ids a worker remembers.
-REMEMBERED = 1 << 21
+#: Distinct words whose ids a worker remembers, and words that it encodes at a time.
+REMEMBERED, SLICE = 1 << 19, 1 << 12
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -41,14 +42,20 @@ class _Ids:
         self.begin, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
         self.ids = np.empty(0, np.uint32)
 
-    def learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        new = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        size = np.fromiter(map(len, new), np.int64, len(new))
-        begin = len(self.ids) + np.cumsum(size) - size
-        self.ids = np.append(self.ids, np.fromiter((i for x in new for i in x), np.uint32, int(size.sum())))
-        order = np.argsort(all_words := np.append(self.words, hashes), kind="stable")
-        self.words = all_words[order]
-        self.begin, self.size = np.append(self.begin, begin)[order], np.append(self.size, size)[order]
+    def learn(self, hashes: np.ndarray, words: Iterator[str]) -> None:
+        """Encodes new words slice by slice: an encoding is far larger than its ids."""
+        ids, size = [self.ids], []
+        while part := list(islice(words, SLICE)):
+            new = [x.ids for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            size.append(np.fromiter(map(len, new), np.int64, len(new)))
+            ids.append(np.fromiter((i for x in new for i in x), np.uint32, int(size[-1].sum())))
+        sizes = np.concatenate(size)
+        begin = len(self.ids) + np.cumsum(sizes) - sizes
+        self.ids = np.concatenate(ids)
+        # Both are sorted: what is new goes in between.
+        at = np.searchsorted(self.words, hashes)
+        self.words = np.insert(self.words, at, hashes)
+        self.begin, self.size = np.insert(self.begin, at, begin), np.insert(self.size, at, sizes)
 
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where those of each text begin and end."""
@@ -59,7 +66,7 @@ class _Ids:
             if len(self.words) + int(new.sum()) > REMEMBERED:
                 self.forget()
                 new[:] = True
-            self.learn(found[new], [words.text(i).decode("utf-8", "replace") for i in at[new]])
+            self.learn(found[new], (words.text(i).decode("utf-8", "replace") for i in at[new]))
         row = np.searchsorted(self.words, found)
         n = self.size[row][which]
         ends = np.cumsum(n)
