@@ -349,7 +349,9 @@ def shingle_join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Dat
     cells = settle(_mixed(cells.withColumn("comp", F.col("node"))))
     # One row for each node that shares a cell.
     named = settle(cells.select("node").distinct().join(filled, "node").select(F.col("rep").alias("doc_id"), "node"))
-    packed = read.filter("doc_id IS NOT NULL").mapInArrow(_pack(k), _PACKED)
+    # Texts that share no cell go before their words are looked at again.
+    wanted = read.join(checked(settle(named.select("doc_id").distinct())), "doc_id", "left_semi")
+    packed = wanted.mapInArrow(_pack(k), _PACKED)
     sets = settle(packed.join(checked(named), ["doc_id", "node"], "left_semi").drop("doc_id").dropDuplicates(["node"]))
     joined = _grown(None, _links(_led(cells), sets, k, percent))
     for round_ in range(NEAREST + 1):

@@ -90,18 +90,19 @@ def test_equal_windows_have_equal_anchors():
     assert all(of[0, 30 + i] == of[1, 160 + i] for i in range(31))
 
 
+@pytest.mark.parametrize("percent", [80, 85])
 @pytest.mark.parametrize("n", [3, 7, 20, 41, 47, 56, 60, 120, 500])
-def test_linked_sets_share_a_cell(n):
+def test_linked_sets_share_a_cell(n, percent):
     """The most that linked sets can differ, in many random ways."""
     pick = np.random.default_rng(n)
-    bands = shingle_join._Bands(85)
+    bands = shingle_join._Bands(percent)
     for _ in range(60):
         own = np.unique(pick.integers(0, 0xFFFFFFFFFFFFFFFF, n, dtype=np.uint64))
-        drop = int(pick.integers(0, n * 15 // 100 + 1))
-        add = max(0, (100 * (n - drop)) // 85 - n)
+        drop = int(pick.integers(0, n * (100 - percent) // 100 + 1))
+        add = max(0, (100 * (n - drop)) // percent - n)
         other = np.unique(np.append(pick.permutation(own)[: n - drop], pick.integers(0, 0xFFFFFFFFFFFFFFFF, add, dtype=np.uint64)))
         both = len(np.intersect1d(own, other))
-        if 100 * both >= 85 * len(np.union1d(own, other)):
+        if 100 * both >= percent * len(np.union1d(own, other)):
             assert set(shingle_join._cells(own, bands).tolist()) & set(shingle_join._cells(other, bands).tolist())
 
 
