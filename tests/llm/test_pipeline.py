@@ -46,12 +46,12 @@ def test_stages(spark, folder):
     sets = {}
     for k in last.values():
         w = lettered[k].encode().lower().split()
-        sets[k] = {tuple(w[i : i + 4]) for i in range(len(w) - 3)} or {tuple(w)}
+        sets[k] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
     root = {k: k for k in sets}
     for _ in sets:
         for a in sets:
             for b in sets:
-                if a < b and root[a] != root[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                if a < b and root[a] != root[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
                     low, high = sorted((root[a], root[b]))
                     root = {k: low if r == high else r for k, r in root.items()}
     assert sorted(r[0] for r in held[2]) == sorted(k for k, r in root.items() if k == r)
