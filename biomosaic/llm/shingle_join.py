@@ -13,16 +13,16 @@ for certain (see _cells). Below each cell lies a packed tree of its members.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import checked, prepare, settle
+from .runtime import checked, prepare, settle, shards
 from .words import Words, blocks, mix, signed, split
 
 WORDS = 4
@@ -247,34 +247,53 @@ class Tree:
         return tuple(np.concatenate([none, *x]) for x in (asked, hits, bounds))
 
 
-def _meet(percent: int, nearest: bool):
-    """Pairs of different components of one cell whose points allow a link.
+def _met(own: pa.RecordBatch, percent: int, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different components of one cell (or two blocks of it) whose points allow a link.
 
     Members of the commonest component are connected already, so that only the others
     are looked up, in the tree of the other block. ``nearest``: each only with the one
     of largest bound.
     """
+    i, j = own["i"][0].as_py(), own["j"][0].as_py()
+    points = np.frombuffer(b"".join(own["point"].to_pylist()), np.uint8).reshape(-1, GROUPS)
+    node, n, comp, where = (np.asarray(own[c]) for c in ("node", "n", "comp", "block"))
+    values, counts = np.unique(comp, return_counts=True)
+    common = comp == values[counts.argmax()]
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for mine, other in [(i, j)] if i == j else [(i, j), (j, i)]:
+        asked, told = np.flatnonzero((where == mine) & ~common), np.flatnonzero(where == other)
+        if not len(asked) or not len(told):
+            continue
+        rows, hits, bounds = Tree(n[told], points[told]).search(n[asked], points[asked], percent)
+        x, y = asked[rows], told[hits]
+        apart = np.flatnonzero(comp[x] != comp[y])
+        if nearest:
+            apart = apart[np.lexsort((-bounds[apart], x[apart]))]
+            apart = apart[np.diff(x[apart], prepend=-1) != 0]
+        a.append(np.minimum(node[x[apart]], node[y[apart]]))
+        b.append(np.maximum(node[x[apart]], node[y[apart]]))
+    return np.concatenate(a), np.concatenate(b)
+
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        i, j = part["i"].iloc[0], part["j"].iloc[0]
-        points = np.frombuffer(b"".join(part["point"]), np.uint8).reshape(-1, GROUPS)
-        node, n, comp, where = (part[c].to_numpy() for c in ("node", "n", "comp", "block"))
-        values, counts = np.unique(comp, return_counts=True)
-        common = comp == values[counts.argmax()]
-        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for mine, other in [(i, j)] if i == j else [(i, j), (j, i)]:
-            asked, told = np.flatnonzero((where == mine) & ~common), np.flatnonzero(where == other)
-            if not len(asked) or not len(told):
+def _meet(percent: int, nearest: bool):
+    """_met() of every (cell, i, j): rows come sorted by them, a group has at most two blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in chain(batches, [None]):
+            if batch is not None and rest is not None:
+                batch = pa.concat_batches([rest, batch])
+            last, rest = batch is None, rest if batch is None else batch
+            if rest is None or not rest.num_rows:
                 continue
-            rows, hits, bounds = Tree(n[told], points[told]).search(n[asked], points[asked], percent)
-            x, y = asked[rows], told[hits]
-            apart = np.flatnonzero(comp[x] != comp[y])
-            if nearest:
-                apart = apart[np.lexsort((-bounds[apart], x[apart]))]
-                apart = apart[np.diff(x[apart], prepend=-1) != 0]
-            a.append(np.minimum(node[x[apart]], node[y[apart]]))
-            b.append(np.maximum(node[x[apart]], node[y[apart]]))
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
+            keys = np.stack([np.asarray(rest[c]).astype(np.int64) for c in ("cell", "i", "j")])
+            cuts = np.append(np.flatnonzero((np.diff(keys, axis=1) != 0).any(0)) + 1, rest.num_rows)
+            upto = len(cuts) if last else len(cuts) - 1  # the last group may go on
+            if upto:
+                spans = zip(np.append(0, cuts[: upto - 1]), cuts[:upto], strict=True)
+                a, b = zip(*(_met(rest.slice(x, y - x), percent, nearest) for x, y in spans), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+                rest = rest.slice(cuts[upto - 1])
 
     return run
 
@@ -439,4 +458,7 @@ def _rest(cells: DataFrame, sets: DataFrame, percent: int, nearest: bool) -> Dat
         "cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
         "block", "node", "comp", "n", "point",
     )
-    return dealt.groupBy("cell", "i", "j").applyInPandas(_meet(percent, nearest), "a long, b long").distinct()
+    # A number of its own: few bytes, but much work, which Spark would put into few tasks.
+    parts = shards(cells.sparkSession)
+    together = dealt.repartition(parts, "cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+    return together.mapInArrow(_meet(percent, nearest), "a long, b long").distinct()
