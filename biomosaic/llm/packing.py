@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .runtime import prepare, settle, shards
-from .words import blocks, split
+from .words import BLOCK, blocks, split
 
 SIZE = 2048
 END_ID = 1
@@ -30,6 +31,7 @@ class _Ids:
     is encoded once while it is remembered (by its 64-bit hash)."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # cores are Spark's to deal out
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -83,7 +85,7 @@ def _encoder(path: str) -> _Ids:
 def _cut(path: str, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
-        for batch in blocks(batches):
+        for batch in blocks(batches, size=BLOCK):
             ids, at = encoder.of(batch["text"])
             docs, starts, lengths, sums, totals = [], [], [], [], []
             for doc, a, b in zip(batch["doc_id"].to_pylist(), at[:-1], at[1:], strict=True):
