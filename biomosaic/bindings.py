@@ -337,6 +337,38 @@ class StarSchema:
         )
 
 
+class LayeredSchema(StarSchema):
+    """The same tables with a legend and regions as they occur in practice.
+
+    Units have several legend rows: a second class name and macrogroup name under the
+    same code for small parts, a second macrogroup for large ones, a plain repetition for
+    some. The first nations lie in two regions.
+    """
+
+    def huc_region(self) -> DataFrame:
+        region = F.col("n_regionkey") + 1
+        both = F.when(F.col("n_nationkey") < 5, F.array(region, region % 5 + 1)).otherwise(F.array(region))
+        return self.table("nation").select(
+            F.col("n_nationkey").cast("string").alias("huc12rng"), F.explode(both).alias("region_code")
+        )
+
+    def vegetation_legend(self) -> DataFrame:
+        size, name, brand = F.col("p_size"), F.col("p_name"), F.col("p_brand")
+
+        def row(ecosys: Column, macro: Column, code: Column) -> Column:
+            return F.struct(ecosys.alias("ecosys_lu"), macro.alias("nvc_macro"), code.alias("macro_cd"))
+
+        rows = F.array(
+            row(name, brand, brand),
+            F.when(size <= 10, row(F.concat(name, F.lit(" b")), F.concat(brand, F.lit(" b")), brand)),
+            F.when(size >= 45, row(name, F.lit("Brand#00"), F.lit("Brand#00"))),
+            F.when(size.between(20, 22), row(name, brand, brand)),
+        )
+        part = F.col("p_partkey")
+        found = self.table("part").select(part.alias("value"), part.alias("level3"), F.explode(rows).alias("r"))
+        return found.filter("r IS NOT NULL").select("value", "level3", "r.*")
+
+
 def _with_unset_criteria(frame: DataFrame) -> DataFrame:
     """Criteria the frame does not set: flags zero, everything else null."""
     given = set(frame.columns)
