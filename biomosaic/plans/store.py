@@ -65,6 +65,13 @@ def _digest(*columns: str) -> list:
     return [F.count(F.lit(1)).alias("records"), F.coalesce(F.sum(hashed), F.lit(0)).cast("string").alias("digest")]
 
 
+def _nowhere(frame: DataFrame, part: str) -> DataFrame:
+    """Digest of a whole frame, which belongs to no region."""
+    return frame.agg(*_digest(*frame.columns)).select(
+        F.lit(part).alias("part"), F.lit(None).cast("int").alias("region_code"), "records", "digest"
+    )
+
+
 def input_fingerprints(spark: SparkSession, root: str, *names: str) -> DataFrame:
     """(part, region_code, records, digest) of the files of each table, which are not read."""
 
@@ -73,7 +80,7 @@ def input_fingerprints(spark: SparkSession, root: str, *names: str) -> DataFrame
             spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
             .load(f"{root}/{name}").select("path", "length", "modificationTime")
         )
-        return files.agg(*_digest(*files.columns)).select(F.lit(f"{_FILES}{name}").alias("part"), F.lit(None).cast("int").alias("region_code"), "records", "digest")
+        return _nowhere(files, f"{_FILES}{name}")
 
     return reduce(DataFrame.unionAll, map(listed, names))
 
@@ -123,6 +130,9 @@ class StudyStore:
     def _known(self) -> set[tuple]:
         return {tuple(r) for r in self._manifest.open(self.spark).collect()}  # a few rows a region
 
+    def _remember(self, rows: set[tuple]) -> None:
+        self._manifest.write(self.spark.createDataFrame(sorted(rows, key=str), _MANIFEST))
+
     @staticmethod
     def _parts(study: MacrogroupStudy) -> DataFrame:
         """Digests of what each region's sums are made from, and of the legends."""
@@ -139,10 +149,7 @@ class StudyStore:
             .select(F.lit(part).alias("part"), "region_code", "records", "digest")
             for part, frame in of_region.items()
         ]
-        for part in ("cover_legend", "vegetation_legend"):
-            frame = getattr(t, part)
-            whole = frame.agg(*_digest(*frame.columns))
-            digests.append(whole.select(F.lit(part).alias("part"), F.lit(None).cast("int").alias("region_code"), "records", "digest"))
+        digests += [_nowhere(getattr(t, part), part) for part in ("cover_legend", "vegetation_legend")]
         return reduce(DataFrame.unionAll, digests)
 
     @staticmethod
@@ -159,8 +166,9 @@ class StudyStore:
 
         The cells are counted once and kept; regions are compared by digests of their
         cells, ranges and habitat. A rewritten region holds a row without a species,
-        which makes its directory even where no sums are left, and is never read. The
-        manifest comes last: a job that is lost leaves a store that counts as stale.
+        which makes its directory even where no sums are left, and is never read. What
+        is about to change leaves the manifest first and enters it last: a job that is
+        lost leaves a store that counts as stale and whose regions are written again.
         """
         spark, known, files = self.spark, self._known(), {tuple(r) for r in self._files().collect()}
         if files <= known:
@@ -170,6 +178,7 @@ class StudyStore:
         study = MacrogroupStudy(replace(self.study.tables, counts=counts, screening=screening))
         parts = {tuple(r) for r in self._parts(study).collect()}
         regions = self._changed(known, parts)
+        self._remember(known & parts)
         if regions:
             t = study.tables
             own = replace(t, huc_region=t.huc_region.filter(F.col("region_code").isin(regions)))
@@ -178,7 +187,7 @@ class StudyStore:
             self._sums.write(sums.unionByName(marks, allowMissingColumns=True))
         units = smy.unit_bitmaps(study.habitat_keys)
         self._bitmaps.write(units.withColumn("spp_key", fold("spp_code")))
-        self._manifest.write(spark.createDataFrame(sorted(files | parts, key=str), _MANIFEST))
+        self._remember(files | parts)
         return regions
 
     def open(self) -> MacrogroupStudy:

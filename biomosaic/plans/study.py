@@ -108,8 +108,8 @@ class MacrogroupStudy:
         """Species that depend on land cover alone.
 
         Read from a stored screening, they are a filter over a scan: Spark then knows
-        their size when it plans, and reduces records to them at the scan by a
-        broadcast, or by a Bloom filter where they are too many for that.
+        their size when it plans, and while that is below its broadcast threshold it
+        reduces ranges and boundary records to them before any shuffle.
         """
         t = self.tables
         if t.screening is not None:

@@ -1,6 +1,7 @@
 """Stored facts and results: plans without exchanges, upkeep by region, one species."""
 
 from collections import Counter
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from biomosaic.operators import habitat as hab
 from biomosaic.operators import ranges as rng
 from biomosaic.operators import summary as smy
 from biomosaic.plans.store import StaleStore, StudyStore, read_by_boundary, write_by_boundary
-from biomosaic.plans.study import MacrogroupStudy
+from biomosaic.plans.study import MacrogroupStudy, stored_study
 from biomosaic.sources.tables import read_catalog_tables
 
 
@@ -111,6 +112,24 @@ def test_a_legend_changes_all_regions_and_an_empty_region_is_emptied(spark, stor
     assert found == rows(direct.by_region) and {r[1] for r in found} == {1}
 
 
+def test_a_lost_refresh_is_done_again(spark, store, table, data, tmp_path, monkeypatch):
+    """Sums of inputs that are gone again must not be taken for the current ones."""
+    store.refresh()
+    expected = rows(store.open().by_region)
+    changed = [(b, mu, n + 1) for b, mu, n in data["boundary_cover"]]
+    _write(table, data | {"boundary_cover": changed}, tmp_path / "inputs", "boundary_cover")
+    lost = StudyStore(spark, store.inputs, store.path, buckets=4)
+    monkeypatch.setattr(smy, "unit_bitmaps", lambda frame: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        lost.refresh()
+    monkeypatch.undo()
+    _write(table, data, tmp_path / "inputs", "boundary_cover")
+    later = StudyStore(spark, store.inputs, store.path, buckets=4)
+    with pytest.raises(StaleStore):
+        later.open()
+    assert later.refresh() == [1, 2] and rows(later.open().by_region) == expected
+
+
 def test_files_touched_without_a_change_rewrite_nothing(spark, store, table, data, tmp_path):
     store.refresh()
     _write(table, data, tmp_path / "inputs", "ranges")
@@ -164,3 +183,49 @@ def test_tables_of_two_databases(spark, table, data):
     finally:
         for base in ("land", "animals"):
             spark.sql(f"DROP DATABASE IF EXISTS {base} CASCADE")
+
+
+def _rare(table, data):
+    """Forty species, two of which pass the screening."""
+    flags = data["ancillary"][0]
+    code = lambda i: f"x{i:04d}x"
+    models = [(f"{code(i)}-Y1", code(i), 1, "Y", 1) for i in range(40)]
+    more = {
+        "taxa": [(code(i), "s", "c", 1) for i in range(40)],
+        "submodels": models,
+        "ancillary": [(m[0], int(i >= 2), *flags[2:]) for i, m in enumerate(models)],
+        "presence": [(m[0], mu, 1) for m in models for mu in (101, 103)],
+        "ranges": [(code(i), f"h{h}", 1, 1) for i in range(40) for h in range(3)],
+        "boundary_species": [(b, code(i), 1) for b, _ in data["boundaries"] for i in range(40)],
+    }
+    return data | more
+
+
+def _above(plan, leaf):
+    """For each scan of a column list: the operators from it up to its first shuffle."""
+    nodes = [(len(line) - len(line.lstrip(" :+-")), line) for line in plan.splitlines()]
+    for i, (depth, line) in enumerate(nodes):
+        if "Scan" in line and leaf in line:
+            path, level = [], depth
+            for d, text in reversed(nodes[:i]):
+                if d < level:
+                    level = d
+                    path.append(text)
+                    if "Exchange hashpartitioning" in text:
+                        break
+            yield " | ".join(path)
+
+
+def test_records_of_other_species_stay_out_of_the_shuffles(spark, table, data, tmp_path):
+    data = _rare(table, data)
+    _write(table, data, tmp_path / "inputs")
+    study = StudyStore(spark, str(tmp_path / "inputs"), str(tmp_path / "store")).study
+    direct = rows(study.by_region)
+    kept = stored_study(study, str(tmp_path / "kept"))
+    fresh = MacrogroupStudy(replace(kept.tables, by_region=None, counts=None))
+    assert rows(fresh.species) == [("x0000x",), ("x0001x",)]
+    assert rows(fresh.by_region) == direct != []
+    plan = _plan(fresh.summary)
+    for leaf in ("range_pres", "species_cd"):
+        paths = list(_above(plan, leaf))
+        assert paths and all("LeftSemi" in path for path in paths), (leaf, paths)
