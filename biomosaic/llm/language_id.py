@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .grams import packed, spelled
-from .runtime import bounded_sample, fold_of, prepare
+from .runtime import bounded_sample, checked, fold_of, prepare, settle
 from .words import blocks, tally
 
 UNKNOWN = "und"
@@ -41,9 +41,9 @@ def profiles(labelled: DataFrame, sample: int = SAMPLE, size: int = PROFILE) ->
     chosen by a hash of the id, are read whole; rows without text or lang are not used.
     """
     usable = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    # Ids alone are ranked; texts are then looked up for the chosen.
-    chosen = bounded_sample(usable.select("doc_id", "lang"), "lang", sample, "doc_id")
-    texts = usable.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"], "left_semi").select("lang", "text")
+    # Ids alone are ranked; the chosen, few, are then looked up where the texts are read.
+    chosen = settle(bounded_sample(usable.select("doc_id", "lang"), "lang", sample, "doc_id"))
+    texts = usable.select("doc_id", "lang", "text").join(checked(chosen), ["doc_id", "lang"], "left_semi").select("lang", "text")
     counts = texts.mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     return counts.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < size).select("lang", "gram", "rank")
@@ -68,10 +68,10 @@ def _predict(model: list[tuple[str, int, int]], size: int):
     for lang, gram, rank in model:
         ranks[np.searchsorted(vocabulary, gram), place[lang]] = rank
 
-    def one(text: str | None) -> tuple[str, float]:
+    def one(text: str | None) -> tuple[str, float, bool]:
         codes = spelled(text)
         if not len(codes) or not langs:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, len(codes) > 0
         grams = _frequent(codes, size)
         at = np.searchsorted(vocabulary, grams)
         known = at < len(vocabulary)
@@ -79,23 +79,27 @@ def _predict(model: list[tuple[str, int, int]], size: int):
         rows = ranks[np.where(known, at, len(vocabulary))]
         away = np.where(rows < size, np.abs(rows - np.arange(len(grams))[:, None]), size).sum(0)
         best = int(away.argmin())
-        return langs[best], float(1 - away[best] / (size * len(grams)))
+        return langs[best], float(1 - away[best] / (size * len(grams))), True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
             found = [one(t) for t in batch["text"].to_pylist()]
             lang = pa.array([x[0] for x in found], pa.string())
             score = pa.array([x[1] for x in found], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, lang, score], names=[*batch.schema.names, _LANG, _SCORE])
+            letters = pa.array([x[2] for x in found], pa.bool_())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, lang, score, letters], names=[*batch.schema.names, _LANG, _SCORE, _LETTERS]
+            )
 
     return run
 
 
-_LANG, _SCORE = "__language_id_lang", "__language_id_score"
+_LANG, _SCORE, _LETTERS = "__language_id_lang", "__language_id_score", "__language_id_letters"
 
 
 def tagged(docs: DataFrame, model: DataFrame, columns: list[str], size: int = PROFILE) -> DataFrame:
-    """``columns`` of ``docs`` (text among them), the predicted language and its score.
+    """``columns`` of ``docs`` (text among them), the predicted language, its score
+    and whether the text has a letter.
 
     A profile has ``size`` rows and there are as many as languages labelled, so that
     the model is small whatever the corpus; it goes to the tasks with the code.
@@ -103,7 +107,7 @@ def tagged(docs: DataFrame, model: DataFrame, columns: list[str], size: int = PR
     rows = [(r["lang"], r["gram"], r["rank"]) for r in model.collect()]
     read = docs.select(*columns)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema)
-    return read.mapInArrow(_predict(rows, size), f"{schema}, {_LANG} string, {_SCORE} double")
+    return read.mapInArrow(_predict(rows, size), f"{schema}, {_LANG} string, {_SCORE} double, {_LETTERS} boolean")
 
 
 def labelled_part(docs: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:
@@ -132,7 +136,11 @@ def language_id(docs: DataFrame, sample: int = SAMPLE, size: int = PROFILE) -> D
 
 
 def identified(docs: DataFrame, sample: int = SAMPLE, size: int = PROFILE) -> DataFrame:
-    """The rows of ``docs`` whose language can be told, with their columns."""
+    """The rows of ``docs`` with a letter to tell a language by, with their columns.
+
+    Rows whose text is null, empty or without a letter go; where no row is labelled no
+    language is judged, and rows with a letter stay.
+    """
     prepare(docs.sparkSession)
     model = profiles(labelled_part(docs), sample, size)
-    return tagged(docs, model, docs.columns, size).filter(F.col(_LANG) != UNKNOWN).select(*docs.columns)
+    return tagged(docs, model, docs.columns, size).filter(F.col(_LETTERS)).select(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -14,8 +14,8 @@ ROOT = str(Path(__file__).resolve().parents[2])
 def prepare(spark: SparkSession) -> None:
     """Settings that the operators rely on.
 
-    Arrow batches hold whole texts, so their rows are few. Python workers import
-    this package: on a cluster it is installed there, else it is found at ROOT.
+    Arrow batches hold whole texts, so their rows and bytes are few. Python workers
+    import this package: on a cluster it is installed there, else it is found at ROOT.
     """
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -67,11 +67,17 @@ def fold_of(doc_id: Column, folds: int) -> Column:
 
 
 def bounded_sample(rows: DataFrame, per: str, bound: int, *order: str) -> DataFrame:
-    """At most ``bound`` rows for each value of ``per``, by a hash of ``order``.
+    """At most ``bound`` rows for each value of ``per`` (none for null), by a hash of ``order``.
 
-    Spark keeps the first rows of every partition before it shuffles them.
+    Rows are counted by 65,536 even parts of the hash range. Only those up to the part in
+    which the bound is reached are ranked: the bound and one part more, whatever the number
+    of rows and partitions, but for rows that repeat.
     """
-    from pyspark.sql import Window
-
-    first = Window.partitionBy(per).orderBy(F.xxhash64(*order), *order)
-    return rows.withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= bound).drop("_rank")
+    hashed = rows.withColumn("_hash", F.xxhash64(*order)).withColumn("_part", F.shiftright("_hash", 48))
+    before = Window.partitionBy(per).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = hashed.groupBy(per, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    reached = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).filter(F.col("_before") < bound)
+    cuts = settle(reached.groupBy(per).agg(F.max("_part").alias("_last")))
+    near = hashed.join(checked(cuts), per).filter(F.col("_part") <= F.col("_last"))
+    first = Window.partitionBy(per).orderBy("_hash", *order)
+    return near.withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= bound).select(*rows.columns)

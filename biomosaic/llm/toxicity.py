@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .grams import buckets, spelled
-from .runtime import bounded_sample, fold_of, prepare, settle
+from .runtime import bounded_sample, checked, fold_of, prepare, settle
 from .words import blocks
 
 #: Character n-grams and the bits of their hashes.
@@ -122,8 +122,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[int,
     """
     marked = labels.filter(F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     known = docs.filter(F.col("text").isNotNull()).select("doc_id").join(marked, "doc_id").distinct()
-    chosen = bounded_sample(known, "toxic", sample, "doc_id")
-    texts = settle(docs.select("doc_id", "text").join(chosen, "doc_id").select("toxic", "text"))
+    chosen = settle(bounded_sample(known, "toxic", sample, "doc_id"))
+    texts = settle(docs.select("doc_id", "text").join(checked(chosen), "doc_id").select("toxic", "text"))
     if texts.select("toxic").distinct().count() < 2:
         return {-1: 0.0}
     counted = texts.mapInArrow(_held, "toxic int, gram int, n long").groupBy("toxic", "gram").agg(F.sum("n").alias("n"))

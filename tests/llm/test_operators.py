@@ -15,6 +15,7 @@ from biomosaic.llm import (
     components, exact_dedup, language_id, mixing, near_vectors, packing, secret_scan, shingle_join,
     substring_dedup, suffix_tree_lm, toxicity,
 )
+from biomosaic.llm import runtime
 from biomosaic.llm.queries import TOKENIZER
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -262,6 +263,23 @@ def test_language_id(spark, make_docs):
 def test_language_without_labels(make_docs):
     found = language_id.language_id(make_docs((1, "some words", None, None))).collect()
     assert [(r.lang_pred, r.score) for r in found] == [("und", 0.0)]
+    rows = ((1, "some words", None, None), (2, "12 !?", None, None), (3, None, None, None), (4, "", None, None))
+    assert [r.doc_id for r in language_id.identified(make_docs(*rows)).collect()] == [1]
+
+
+@pytest.mark.parametrize("broadcast", [0, 1000])
+def test_bounded_sample(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(runtime, "BROADCAST_ROWS", broadcast)
+    rows = [(i, "few" if i % 50 == 0 else "many" if i % 7 else None) for i in range(2000)] + [(77, "many")] * 40
+    frame = spark.createDataFrame(rows, "doc_id long, lang string").withColumn("_h", F.xxhash64("doc_id"))
+    held = frame.collect()
+    found = runtime.bounded_sample(frame, "lang", 45, "doc_id")
+    assert found.columns == frame.columns
+    for lang, size in (("few", 40), ("many", 45)):
+        expected = sorted((r._h, r.doc_id) for r in held if r.lang == lang)[:45]
+        assert len(expected) == size
+        assert sorted((r._h, r.doc_id) for r in found.collect() if r.lang == lang) == expected
+    assert found.filter("lang IS NULL").isEmpty()
 
 
 def test_out_of_place_distance():
