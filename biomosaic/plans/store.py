@@ -85,10 +85,11 @@ def input_fingerprints(spark: SparkSession, root: str, *names: str) -> DataFrame
     return reduce(DataFrame.unionAll, map(listed, names))
 
 
-_FILES = "files of "
+# Another label when the layout of a store changes: what was written before is then stale.
+_FILES = "files, units in longs, of "
 _MANIFEST = "part string, region_code int, records long, digest string"
 _SUMS = "spp_key string, spp_code string, mg_code string, mg_name string, hab_mu_cnt long, hab_mg_cnt long, region_code int"
-_BITMAPS = "spp_key string, spp_code string, mg_code string, bucket long, units binary"
+_BITMAPS = "spp_key string, spp_code string, mg_code string, bucket long, units long"
 
 
 @dataclass(frozen=True)
@@ -118,7 +119,7 @@ class StudyStore:
 
     @property
     def _bitmaps(self) -> Buckets:
-        return Buckets(f"{self.path}/unit_bitmaps", _BITMAPS, "spp_key", self.buckets)
+        return Buckets(f"{self.path}/unit_longs", _BITMAPS, "spp_key", self.buckets)
 
     def _files(self) -> DataFrame:
         return input_fingerprints(self.spark, self.inputs, *StudyTables.table_names())

@@ -173,6 +173,27 @@ def test_bitmaps_count_units_once(spark, table, data):
     assert rows(smy.count_units(smy.unit_bitmaps(wide), "spp_code")) == [("s", 7)]
 
 
+def test_bitmaps_take_no_more_than_a_long_a_unit(spark):
+    """Units far apart: a species that selects one of thousands keeps one row of fixed size."""
+    apart = spark.range(50).select(F.concat(F.lit("s"), F.col("id") % 5).alias("spp_code"), F.lit("g").alias("mg_code"), (F.col("id") * 40000).alias("mu_code"))
+    bitmaps = smy.unit_bitmaps(apart.unionAll(apart).unionAll(apart.withColumn("mu_code", F.col("mu_code") + 1)))
+    assert bitmaps.schema["units"].dataType.simpleString() == "bigint"
+    assert bitmaps.count() == 50
+    counted = smy.count_units(bitmaps, "spp_code")
+    assert "SortAggregate" not in _plan(counted)
+    assert rows(counted) == [(f"s{i}", 20) for i in range(5)]
+    nothing = smy.unit_bitmaps(apart.limit(1).withColumn("mu_code", F.lit(None).cast("long")))
+    assert rows(smy.count_units(nothing, "spp_code")) == [("s0", 0)]
+
+
+def test_a_store_of_an_earlier_layout_is_stale(spark, store):
+    store.refresh()
+    store._remember({(r[0].replace("files, units in longs, of ", "files of "), *r[1:]) for r in store._known()})
+    with pytest.raises(StaleStore):
+        store.open()
+    assert store.refresh() == [1, 2] and store.open().tallies.count()
+
+
 def test_tables_of_two_databases(spark, table, data):
     try:
         for base, name in (("land", "boundary_cover"), ("animals", "ranges")):
