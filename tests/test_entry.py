@@ -140,6 +140,23 @@ def test_large_inputs_are_hash_aggregated(spark, skewed):
         assert "SortAggregate" not in frame._jdf.queryExecution().executedPlan().toString(), name
 
 
+@pytest.mark.parametrize(("name", "key", "shuffles"), [("species_summary", "smc_key", 6), ("species_mg_ratio", "range_seas", 1)])
+def test_shared_steps_are_shuffled_once(spark, skewed, name, key, shuffles):
+    """Null tests are alike in all uses of habitat and ranges; unlike ones have each use joined anew."""
+    planned = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    frame = entry.queries()[name](spark, str(skewed))
+    before = {n: spark.conf.get(n) for n in planned}
+    for n, value in planned.items():
+        spark.conf.set(n, value)
+    try:
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for n, value in before.items():
+            spark.conf.set(n, value)
+    made = [x for x in plan.split("\n") if "- Exchange hashpartitioning" in x and f"{key}#" in x.split("Exchange")[1].split(")")[0]]
+    assert len(made) == shuffles, made
+
+
 def test_results_from_stored_steps(spark, skewed, tmp_path):
     """One computation of the counts and sums gives the three result sets."""
     from biomosaic.plans.study import MacrogroupStudy, stored_study

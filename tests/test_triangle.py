@@ -40,6 +40,21 @@ def test_equals_the_plain_joins(spark, monkeypatch, salted):
     assert {r._opened for r in opened.select("_opened").collect()} == {1, 2}
 
 
+def test_sums_equal_those_of_the_plain_joins(spark):
+    pick = random.Random(2)
+    some = lambda n: pick.choice([None, 0, 0, 0, *range(n)])
+    name = lambda n: None if n is None else f"S{n}"
+    base = spark.createDataFrame(
+        [(k, name(k), some(6), some(3)) for k in (some(8) for _ in range(150))], "s int, spp string, u int, g int"
+    )
+    first = spark.createDataFrame([(some(6), some(9), pick.choice([None, 1, i])) for i in range(60)], "u int, h int, y int")
+    second = spark.createDataFrame([(some(8), some(9)) for _ in range(60)], "s int, h int")
+    own = {"s": F.substring("spp", 2, 9).cast("int")}
+    summed = triangle.Triangle(base, first, ["u"], second, ["s"], ["h"]).summed(["spp", "g"], F.col("y") * 2, "n", own)
+    plain = base.join(first, "u").join(second, ["s", "h"]).groupBy("spp", "g").agg(F.sum(F.col("y") * 2).alias("n"))
+    assert rows(summed, "spp", "g", "n") == rows(plain, "spp", "g", "n") != []
+
+
 def test_empty_sides(spark):
     base = spark.createDataFrame([(1, 2)], "s int, u int")
     first, second = spark.createDataFrame([(2, 3)], "u int, h int"), spark.createDataFrame([(1, 3)], "s int, h int")
