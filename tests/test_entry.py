@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from biomosaic.bindings import TABLES, StarSchema
+from biomosaic.session import split_hot_keys
 
 GIVEN = Path("/root/testdata/sf0.001")
 
@@ -70,6 +71,16 @@ def test_shuffles(spark, skewed, name):
         assert any(x.startswith("hashpartitioning(uc, range_seas, huc12rng,") for x in shuffles)
 
 
+@pytest.mark.parametrize("name", ["compat_tight_counts", "compat_tight_expanded_by_region"])
+def test_compat_counts_lie_by_species(spark, skewed, name):
+    """Opened units are shuffled by species, without names; both sides share the habitat's shuffles."""
+    split_hot_keys(spark)
+    _, shuffles = _shuffles(spark, skewed, name)
+    assert not any(x.startswith("hashpartitioning(uc_key, huc12rng, region_code,") for x in shuffles)
+    assert sum(x.startswith("hashpartitioning(uc_key,") and "REPARTITION" in x for x in shuffles) == 3
+    assert sum(x.startswith("hashpartitioning(smc_key,") for x in shuffles) == 6
+
+
 @pytest.fixture(scope="module")
 def skewed(spark, tmp_path_factory):
     """One order, one supplier and one part hold a third of the lines each."""
