@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import heapq
+import json
 import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .runtime import prepare, settle, shards
-from .words import BLOCK, blocks, split
+from .words import _SPACE, BLOCK, Words, blocks, split
 
 SIZE = 2048
 END_ID = 1
@@ -25,10 +25,46 @@ REMEMBERED, SLICE = 1 << 19, 1 << 12
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+#: Pattern of tokenizers that end a token after each run of letters, and the mark of that end.
+_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_WORD_END = "</w>"
+
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_SIGN = np.zeros(256, bool)  # visible ASCII other than letters
+_SIGN[0x21:0x7F] = ~_LETTER[0x21:0x7F]
+
+
+def _runs(words: Words) -> tuple[Words, np.ndarray]:
+    """Words in lower case, cut where a letter is followed by an ASCII sign or digit, and
+    which of the pieces are letters alone.
+
+    Only ASCII and the letters of Latin-1 (C3 and one byte) are looked at. An upper-case
+    letter before any other character stays: the two may be composed to one.
+    """
+    data = words.data
+    latin = (np.append(np.uint8(0), data[:-1]) == 0xC3) & (data != 0x97) & (data != 0xB7)
+    letter = _LETTER[data] | latin
+    after = np.append(data[1:], np.uint8(0x20))
+    upper = np.where(latin, data < 0x9F, _LETTER[data] & (data < 97)) & ((after < 0x80) | (after == 0xC3))
+    cuts = np.flatnonzero(letter & _SIGN[after]) + 1
+    begins, ends = np.zeros(len(data), bool), np.zeros(len(data) + 1, bool)
+    begins[words.start] = begins[cuts[cuts < len(data)]] = True
+    ends[words.end] = ends[cuts] = True
+    start = np.flatnonzero(begins)
+    ptr = np.searchsorted(start, np.append(words.start, len(data))[words.ptr])
+    # The first byte of a Latin-1 letter is one of it, too; blanks up to the next word are not seen.
+    other = ~letter & ~_SPACE[data] & ~((data == 0xC3) & np.append(latin[1:], False))
+    alone = ~np.logical_or.reduceat(other, start) if len(start) else np.empty(0, bool)
+    return Words(data + upper * np.uint8(32), start, np.flatnonzero(ends), ptr), alone
+
+
 class _Ids:
     """Token ids of texts. The tokenizer drops white space and splits at it, so that
     the ids of a text are those of its words one after another; words recur, and each
-    is encoded once while it is remembered (by its 64-bit hash)."""
+    is encoded once while it is remembered (by its 64-bit hash). Where the tokenizer
+    folds case and ends tokens after runs of letters, the runs are remembered instead,
+    of which there are far fewer (see _runs)."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # cores are Spark's to deal out
@@ -37,43 +73,111 @@ class _Ids:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        # Read one by one: the whole file as Python objects would stay in the worker's memory.
+        rules = [json.loads(x.__getstate__()) if x else {} for x in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer)]
+        norm, cut = rules[0].get("normalizers", []), rules[1].get("pretokenizers", [])
+        self.folds = (
+            [x["type"] for x in norm] == ["NFC", "Replace", "Lowercase"]
+            and (norm[1]["pattern"], norm[1]["content"]) == ({"Regex": r"\s+"}, " ")
+            and [x["type"] for x in cut] == ["Split", "ByteLevel"]
+            and cut[0] == {"type": "Split", "pattern": {"Regex": _RUNS}, "behavior": "Removed", "invert": True}
+            and not cut[1]["use_regex"] and not cut[1]["add_prefix_space"]
+            and getattr(self.tokenizer.model, "end_of_word_suffix", None) == _WORD_END
+        )
+        #: Found in texts before anything else is done with them.
+        self.added = [x.content.encode().lower() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        tokens = map(self.tokenizer.id_to_token, range(self.tokenizer.get_vocab_size()))
+        self.last = np.array([(x or "").endswith(_WORD_END) for x in tokens], bool)
         self.forget()
 
     def forget(self) -> None:
-        self.words = np.empty(0, np.uint64)
+        self.words, self.again = np.empty(0, np.uint64), np.empty(0, bool)
         self.begin, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
         self.ids = np.empty(0, np.uint32)
 
-    def learn(self, hashes: np.ndarray, words: Iterator[str]) -> None:
+    def keep_recurring(self) -> None:
+        """Forgets words that were not met again since they were learnt or last kept."""
+        rows = np.flatnonzero(self.again)
+        self.ids = self.ids[_spans(self.begin[rows], self.size[rows])]
+        self.words, self.size, self.again = self.words[rows], self.size[rows], np.zeros(len(rows), bool)
+        self.begin = np.cumsum(self.size) - self.size
+
+    def _apart(self, words: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that are encoded each by itself, and how many each has."""
+        part = [words.text(i).decode("utf-8", "replace") for i in at]
+        new = [x.ids for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+        size = np.fromiter(map(len, new), np.int64, len(new))
+        return np.fromiter((i for x in new for i in x), np.uint32, int(size.sum())), size
+
+    def _together(self, words: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same of words of letters alone, encoded as one text: the last token of
+        each, and no other, has the mark of the end."""
+        n = words.end[at] - words.start[at] + 1
+        line = words.data[np.minimum(_spans(words.start[at], n), len(words.data) - 1)]
+        line[np.cumsum(n) - 1] = 0x20
+        text = line.tobytes().decode("utf-8", "replace")
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(at) or ends[-1] != len(ids):
+            return self._apart(words, at)
+        return ids, np.diff(ends, prepend=0)
+
+    def learn(self, hashes: np.ndarray, words: Words, at: np.ndarray, alone: np.ndarray) -> None:
         """Encodes new words slice by slice: an encoding is far larger than its ids."""
+        order = np.argsort(~alone, kind="stable")
         ids, size = [self.ids], []
-        while part := list(islice(words, SLICE)):
-            new = [x.ids for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            size.append(np.fromiter(map(len, new), np.int64, len(new)))
-            ids.append(np.fromiter((i for x in new for i in x), np.uint32, int(size[-1].sum())))
+        for encode, rows in ((self._together, order[: int(alone.sum())]), (self._apart, order[int(alone.sum()) :])):
+            for i in range(0, len(rows), SLICE):
+                new, n = encode(words, at[rows[i : i + SLICE]])
+                ids.append(new)
+                size.append(n)
         sizes = np.concatenate(size)
-        begin = len(self.ids) + np.cumsum(sizes) - sizes
+        begins = len(self.ids) + np.cumsum(sizes) - sizes
         self.ids = np.concatenate(ids)
+        size, begin = np.empty_like(sizes), np.empty_like(sizes)
+        size[order], begin[order] = sizes, begins
         # Both are sorted: what is new goes in between.
-        at = np.searchsorted(self.words, hashes)
-        self.words = np.insert(self.words, at, hashes)
-        self.begin, self.size = np.insert(self.begin, at, begin), np.insert(self.size, at, sizes)
+        row = np.searchsorted(self.words, hashes)
+        self.words, self.again = np.insert(self.words, row, hashes), np.insert(self.again, row, False)
+        self.begin, self.size = np.insert(self.begin, row, begin), np.insert(self.size, row, size)
+
+    def _known(self, hashes: np.ndarray) -> np.ndarray:
+        """Rows of the words that are remembered, -1 for others."""
+        if not len(self.words):
+            return np.full(len(hashes), -1)
+        row = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        return np.where(self.words[row] == hashes, row, -1)
 
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where those of each text begin and end."""
         words = split(texts, lower=False)
+        alone = np.zeros(len(words.start), bool)
+        if self.folds and not self._has_added(words.data):
+            words, alone = _runs(words)
         found, at, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        new = ~np.isin(found, self.words, assume_unique=True)
+        row = self._known(found)
+        new = row < 0
+        self.again[row[~new]] = True
         if new.any():
             if len(self.words) + int(new.sum()) > REMEMBERED:
-                self.forget()
-                new[:] = True
-            self.learn(found[new], (words.text(i).decode("utf-8", "replace") for i in at[new]))
-        row = np.searchsorted(self.words, found)
+                self.keep_recurring()
+                if len(self.words) + int(new.sum()) > REMEMBERED // 4 * 3:
+                    self.forget()
+                    new[:] = True
+            self.learn(found[new], words, at[new], alone[at[new]])
+            row = self._known(found)
         n = self.size[row][which]
         ends = np.cumsum(n)
-        pick = np.repeat(self.begin[row][which] - (ends - n), n) + np.arange(int(n.sum()))
-        return self.ids[pick], np.append(0, ends)[words.ptr]
+        return self.ids[_spans(self.begin[row][which], n)], np.append(0, ends)[words.ptr]
+
+    def _has_added(self, data: np.ndarray) -> bool:
+        text = data.tobytes().lower()
+        return any(x in text for x in self.added)
+
+
+def _spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Indices of the spans one after another."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
 @lru_cache(maxsize=1)
