@@ -81,6 +81,17 @@ def test_compat_counts_lie_by_species(spark, skewed, name):
     assert sum(x.startswith("hashpartitioning(smc_key,") for x in shuffles) == 6
 
 
+@pytest.mark.parametrize("name", ["species_mg_ratio", "layered_species_mg_ratio", "compat_species_mg_ratio"])
+def test_ratio_shares_its_shuffles(spark, skewed, name):
+    """Units lie by species once for both sides; counts and base rows are shuffled by the
+    unit once for degrees and joins."""
+    split_hot_keys(spark)
+    _, shuffles = _shuffles(spark, skewed, name)
+    assert sum(x.startswith("hashpartitioning(uc_key,") and "REPARTITION" in x for x in shuffles) == 1
+    by_unit = [x for x in shuffles if re.match(r"hashpartitioning\(mu_code, \d+\)", x)]
+    assert len(by_unit) == 9, by_unit
+
+
 @pytest.fixture(scope="module")
 def skewed(spark, tmp_path_factory):
     """One order, one supplier and one part hold a third of the lines each."""
