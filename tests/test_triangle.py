@@ -173,3 +173,26 @@ def test_crowded_units_and_boundaries(spark, table, crowded, as_at_scale, monkey
     by_unit = opened.filter("mu_code = 1 AND _opened = 1")
     share = [r["count"] for r in by_unit.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(share) > 300 and (max(share) < 0.35 * sum(share)) == salted
+
+
+def test_class_records_bring_no_names(spark, table, crowded, as_at_scale, monkeypatch):
+    """Class values differ from units, have several legend rows or several units, and
+    boundaries repeat a class; records pass the shuffles as a boundary and a value."""
+    legend = [(100 + u, u, f"e{u}", f"g{u % 3}", f"g{u % 3}") for u in range(20)]
+    legend += [(100, 0, "e0 b", "g0", "g0"), (101, 2, "e2", "g2", "g2"), (103, 3, "e3", "g0", "g0"), (None, 4, "e4", "g1", "g1"), (104, None, "e", "g", "g")]
+    records = [(b, 100 + u, n) for b, u, n in crowded["boundary_vegetation"]] + [(0, 103, 1), (None, 100, 1), (1, None, 1), (2, 999, 1)]
+    made = []
+    plain = triangle.Triangle.joined
+    monkeypatch.setattr(triangle.Triangle, "joined", lambda self: made.append(self) or plain(self))
+    data = crowded | {"boundary_vegetation": records, "vegetation_legend": legend}
+    found = bnd.species_boundary_counts(*[table(name, *rs) for name, rs in data.items()])
+    chosen = {(smc[:6], u) for smc, u, _ in data["presence"]}
+    taxa = {t[0]: t for t in data["taxa"]}
+    expected = [
+        (spp, *taxa[spp][1:3], eco, macro, b, n)
+        for b, value, _ in records for v, u, eco, macro, _ in legend if v == value is not None
+        for b2, spp, n in data["boundary_species"] if b2 == b and (spp, u) in chosen
+    ]
+    assert sorted(tuple(r) for r in found.collect()) == sorted(expected)
+    (sides,) = made
+    assert set(sides.base.columns) == {"boundary", "mu_code"}
